@@ -27,6 +27,7 @@ from threshcast.plans.forecasting import (
     train_models,
 )
 from threshcast.session import fresh_path
+from threshcast.sources.tables import write_table
 
 LAYOUT = Layout(site="site", time="t", target="y", season="season")
 _PERIODS = parse_periods(["2024-01-15_2024-01-22", "2024-01-22_2024-01-30"])
@@ -40,7 +41,11 @@ def learning_table(spark, folder):
     out = recent_history(obs, "site", "season", "t", "y", _HIGH, 5, "recent_mean", "past_rate")
     calendar = calendar_columns("t")
     calendar = {k: calendar[k] for k in ("DAY_OF_WEEK", "WEEKEND", "TIME_OF_DAY")}
-    return out.withColumns(calendar).drop("event_id")
+    out = out.withColumns(calendar).drop("event_id")
+    # written once: fitting reads it many times, and a lost executor does not cost the windows
+    path = fresh_path(spark, "learning")
+    write_table(out, path)
+    return spark.read.parquet(path)
 
 
 def _frame(df):

@@ -142,5 +142,5 @@ def site_series(
     rows is never gathered in one window task.
     """
     enough = df.groupBy(site).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_rows)
-    kept = equi_join(df, broadcast_if_small(enough), [site])
+    kept = equi_join(df, broadcast_if_small(enough, derived=True), [site])
     return kept.select(site, time, *columns)

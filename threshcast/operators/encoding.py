@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threshcast.functions.columns import col, label_text
 from threshcast.operators.cleaning import text_columns
 from threshcast.operators.selection import SORT_ROWS, global_index
-from threshcast.session import broadcast_if_small, fits
+from threshcast.session import BROADCAST_ROWS, broadcast_if_small, cut, fits
 
 
 def fit_codes(
@@ -21,7 +21,7 @@ def fit_codes(
     Few labels are ranked per column; many are ranked by a range-partitioned sort.
     """
     columns = text_columns(df) if columns is None else list(columns)
-    labels = (
+    labels = cut(
         df.select(*[label_text(c).alias(c) for c in columns])
         .unpivot([], columns, "column", "label")
         .distinct()
@@ -36,29 +36,33 @@ def fit_codes(
     )
 
 
+def code_counts(codes: DataFrame) -> dict[str, int]:
+    """Number of labels of each column."""
+    rows = codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["column"]: r["n"] for r in rows}
+
+
 def apply_codes(
-    df: DataFrame, codes: DataFrame, columns: Sequence[str], suffix: str = ""
+    df: DataFrame,
+    codes: DataFrame,
+    columns: Sequence[str],
+    suffix: str = "",
+    counts: dict[str, int] | None = None,
 ) -> DataFrame:
     """Replace each column by its code (or add ``<column><suffix>``).
 
-    A label not seen when fitting gets the code after the last one.
+    A label not seen when fitting gets the code after the last one. ``counts`` saves counting
+    the labels again; only label lists known to be short are broadcast.
     """
-    counts = {
-        r["column"]: r["n"]
-        for r in codes.filter(F.col("column").isin(list(columns)))
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
+    counts = code_counts(codes) if counts is None else counts
     out = df
     for i, c in enumerate(columns):
         n = counts.get(c, 0)
         side = codes.filter(F.col("column") == c).select(
             F.col("label").alias(f"__l{i}"), F.col("code").alias(f"__c{i}")
         )
-        out = out.join(
-            broadcast_if_small(side), label_text(c) == F.col(f"__l{i}"), "left"
-        ).drop(f"__l{i}")
+        side = F.broadcast(side) if n <= BROADCAST_ROWS else side
+        out = out.join(side, label_text(c) == F.col(f"__l{i}"), "left").drop(f"__l{i}")
         code = F.coalesce(F.col(f"__c{i}"), F.lit(n).cast("long"))
         out = out.withColumn(f"{c}{suffix}", code).drop(f"__c{i}")
     return out

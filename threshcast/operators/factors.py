@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threshcast.functions.columns import key_fraction
@@ -84,7 +84,7 @@ class _Work:
         n_rows, n_cols = self.rows.count(), x.entries.select("col").distinct().count()
         self.n_cols = n_cols
         self.small_rows, self.small_cols = n_rows <= broadcast_rows, n_cols <= broadcast_rows
-        entries = equi_join(x.entries, self._row_side(self.rows), ["row"])
+        entries = x.entries.join(self._row_side(self.rows), "row")
         entries = entries.select("row", "col", (F.col("x") - F.col("fill")).alias("delta"))
         if not self.small_rows and largest_group(entries, ["row"]) <= SERIES_ROWS:
             # too many rows to broadcast W: lay entries out by row once, W follows that layout
@@ -97,35 +97,41 @@ class _Work:
     def _col_side(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small_cols else df
 
-    def times_cols(self, cols: DataFrame, names: list[str], sums: list[float]) -> DataFrame:
-        """(row, fill, weight, y_j) with y = X V for a column table V (col, names)."""
+    def times_cols(
+        self, cols: DataFrame, names: list[str], sums: list[float], rows: DataFrame | None = None
+    ) -> DataFrame:
+        """``rows`` (row, fill, weight, ...) with y_j, where y = X V for a column table V."""
+        rows = self.rows if rows is None else rows
         part = (
             self.entries.join(self._col_side(cols.select("col", *names)), "col")
             .groupBy("row")
-            .agg(*[F.sum(F.col("delta") * F.col(c)).alias(f"__{c}") for c in names])
+            .agg(*[F.expr(f"sum(delta * {c}) AS __{c}") for c in names])
         )
         y = [
-            (F.col("fill") * s + F.coalesce(F.col(f"__{c}"), F.lit(0.0))).alias(f"y{j}")
+            f"fill * {_number(s)} + coalesce(__{c}, 0D) AS y{j}"
             for j, (c, s) in enumerate(zip(names, sums, strict=True))
         ]
-        return equi_join(self.rows, part, ["row"], "left").select("row", "fill", "weight", *y)
-
-    def times_rows(self, rows: DataFrame, names: list[str]) -> tuple[DataFrame, list[float]]:
-        """(col, z_j) with z = X' U for a row table U (row, fill, weight, names)."""
-        scaled = [(F.col("weight") * F.col(c)) for c in names]
-        fills = rows.agg(*[F.sum(F.col("fill") * s) for s in scaled]).first()
-        thin = rows.select("row", *[s.alias(f"__{c}") for c, s in zip(names, scaled, strict=True)])
+        joined = rows.join(self._row_side(part), "row", "left")
+        return joined.selectExpr(*rows.columns, *y)
+
+    def times_rows(
+        self, rows: DataFrame, names: list[str], fills: list[float], cols: DataFrame | None = None
+    ) -> DataFrame:
+        """(col, z_j) or ``cols`` with z_j, where z = X' U for a row table U; ``fills`` are its
+        sums of weight * fill * u_j."""
+        thin = rows.selectExpr("row", *[f"weight * {c} AS {c}" for c in names])
         part = (
             self.entries.join(self._row_side(thin), "row")
             .groupBy("col")
-            .agg(*[F.sum(F.col("delta") * F.col(f"__{c}")).alias(f"__{c}") for c in names])
+            .agg(*[F.expr(f"sum(delta * {c}) AS __{c}") for c in names])
         )
-        fills = [f or 0.0 for f in fills]
         z = [
-            (F.col(f"__{c}") + f).alias(f"z{j}")
+            f"__{c} + {_number(f)} AS z{j}"
             for j, (c, f) in enumerate(zip(names, fills, strict=True))
         ]
-        return part.select("col", *z), fills
+        if cols is None:
+            return part.selectExpr("col", *z)
+        return cols.join(self._col_side(part), "col").selectExpr(*cols.columns, *z)
 
     def squared_norm(self) -> float:
         """Sum of squares over all cells of the completed matrix."""
@@ -136,26 +142,30 @@ class _Work:
         return inner + base * self.n_cols
 
 
-def _gram(df: DataFrame, names: list[str], weight: Column | None = None, more=()) -> tuple:
+def _number(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def _gram(df: DataFrame, names: list[str], weight: str = "1D", more=()) -> tuple:
     """k-by-k sums of products of columns, with further sums, in one aggregate row."""
     k = len(names)
-    w = F.lit(1.0) if weight is None else weight
-    products = [
-        F.sum(w * F.col(names[i]) * F.col(names[j])) for i in range(k) for j in range(i, k)
-    ]
-    row = df.agg(*products, *more).first()
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    products = [f"sum({weight} * {names[i]} * {names[j]})" for i, j in pairs]
+    row = [v or 0.0 for v in df.selectExpr(*products, *more).first()]
     out = np.zeros((k, k))
-    values = iter(row)
-    for i in range(k):
-        for j in range(i, k):
-            out[i, j] = out[j, i] = next(values) or 0.0
-    return out, [v or 0.0 for v in values]
+    for (i, j), v in zip(pairs, row, strict=False):
+        out[i, j] = out[j, i] = v
+    return out, row[len(pairs) :]
 
 
-def _mix(names: list[str], matrix: np.ndarray) -> list[Column]:
-    """Row vector of columns times a small constant matrix."""
+def _sums(names: list[str], weight: str = "1D") -> list[str]:
+    return [f"sum({weight} * {c})" for c in names]
+
+
+def _mix(names: list[str], matrix: np.ndarray) -> list[str]:
+    """Row vector of columns times a small constant matrix, as SQL text."""
     return [
-        sum((F.col(c) * float(matrix[i, j]) for i, c in enumerate(names)), F.lit(0.0))
+        " + ".join(f"{c} * {_number(matrix[i, j])}" for i, c in enumerate(names))
         for j in range(matrix.shape[1])
     ]
 
@@ -167,58 +177,61 @@ def _nndsvd(work: _Work, k: int, passes: int, seed: int) -> tuple[DataFrame, Dat
         raise ValueError(f"rank {k} exceeds the {work.n_cols} columns of the matrix")
     v = [f"v{j}" for j in range(m)]
     cols = work.entries.select("col").distinct()
-    V = cut(cols.select("col", *[key_fraction(["col"], seed + j).alias(c) for j, c in enumerate(v)]))
+    draws = [key_fraction(["col"], seed + j).alias(c) for j, c in enumerate(v)]
+    V = cols.select("col", *draws)
+    sums = np.array(V.selectExpr(*_sums(v)).first(), dtype=float)
     for _ in range(passes):
-        sums = list(V.agg(*[F.sum(c) for c in v]).first())
-        Y = cut(work.times_cols(V, v, sums))
-        Z = cut(work.times_rows(Y, [f"y{j}" for j in range(m)])[0])
-        z = [f"z{j}" for j in range(m)]
-        G, _ = _gram(Z, z)
+        y, z = [f"y{j}" for j in range(m)], [f"z{j}" for j in range(m)]
+        Y = cut(work.times_cols(V, v, list(sums)))
+        fills = list(Y.selectExpr(*_sums(y, "weight * fill")).first())
+        Z = cut(work.times_rows(Y, y, fills))
+        G, sums = _gram(Z, z, more=_sums(z))
         values, vectors = np.linalg.eigh(G)
         good = values > values.max() * 1e-14
         whiten = vectors[:, good] / np.sqrt(values[good])
         m = int(good.sum())
-        v = [f"v{j}" for j in range(m)]
-        V = Z.select("col", *[c.alias(v[j]) for j, c in enumerate(_mix(z, whiten))])
-    V = cut(V)
-    sums = list(V.agg(*[F.sum(c) for c in v]).first())
+        v, sums = [f"v{j}" for j in range(m)], np.array(sums) @ whiten
+        V = Z.selectExpr("col", *[f"{c} AS v{j}" for j, c in enumerate(_mix(z, whiten))])
     y = [f"y{j}" for j in range(m)]
-    Y = cut(work.times_cols(V, v, sums))
-    B, _ = _gram(Y, y, F.col("weight"))
+    Y = cut(work.times_cols(V, v, list(sums)))
+    B, _ = _gram(Y, y, "weight")
     values, vectors = np.linalg.eigh(B)
     order = np.argsort(values)[::-1][:k]
     sigma, rotate = np.sqrt(np.maximum(values[order], 0.0)), vectors[:, order]
     r = len(order)
     scale = rotate / np.where(sigma > 0, sigma, 1.0)
-    U = Y.select("row", "fill", "weight", *[c.alias(f"u{j}") for j, c in enumerate(_mix(y, scale))])
-    V = V.select("col", *[c.alias(f"v{j}") for j, c in enumerate(_mix(v, rotate))])
-
-    def part_norms(df: DataFrame, prefix: str, weight: Column) -> np.ndarray:
-        pos = [F.greatest(F.col(f"{prefix}{j}"), F.lit(0.0)) for j in range(r)]
-        neg = [F.greatest(-F.col(f"{prefix}{j}"), F.lit(0.0)) for j in range(r)]
-        row = df.agg(*[F.sum(weight * c * c) for c in [*pos, *neg]]).first()
-        return np.sqrt(np.array([x or 0.0 for x in row])).reshape(2, r)
+    mixed = [f"{c} AS u{j}" for j, c in enumerate(_mix(y, scale))]
+    U = Y.selectExpr("row", "fill", "weight", *mixed)
+    V = V.selectExpr("col", *[f"{c} AS v{j}" for j, c in enumerate(_mix(v, rotate))])
+
+    def part_norms(df: DataFrame, prefix: str, weight: str) -> np.ndarray:
+        """Norms of the positive and of the negative part of each vector."""
+        squares = [
+            f"sum({weight} * pow(greatest({sign}{prefix}{j}, 0D), 2))"
+            for sign in ("", "-")
+            for j in range(r)
+        ]
+        return np.sqrt(np.array([x or 0.0 for x in df.selectExpr(*squares).first()])).reshape(2, r)
 
-    nu, nv = part_norms(U, "u", F.col("weight")), part_norms(V, "v", F.lit(1.0))
+    nu, nv = part_norms(U, "u", "weight"), part_norms(V, "v", "1D")
     w_cols, h_cols = [], []
     for j in range(k):
         if j >= r:
-            w_cols.append(F.lit(0.0).alias(f"w{j}"))
-            h_cols.append(F.lit(0.0).alias(f"h{j}"))
-            continue
-        if j == 0:
-            factor = float(np.sqrt(sigma[0]))
-            w_cols.append((F.abs(F.col("u0")) * factor).alias("w0"))
-            h_cols.append((F.abs(F.col("v0")) * factor).alias("h0"))
-            continue
-        s = int(np.argmax(nu[:, j] * nv[:, j]))
-        sign = 1.0 if s == 0 else -1.0
-        strength = float(np.sqrt(sigma[j] * nu[s, j] * nv[s, j]))
-        for prefix, norm, out, name in (("u", nu, w_cols, "w"), ("v", nv, h_cols, "h")):
-            kept = F.greatest(F.col(f"{prefix}{j}") * sign, F.lit(0.0))
-            scaled = kept * (strength / float(norm[s, j])) if norm[s, j] > 0 else F.lit(0.0)
-            out.append(F.when(scaled < 1e-6, 0.0).otherwise(scaled).alias(f"{name}{j}"))
-    return U.select("row", "fill", "weight", *w_cols), V.select("col", *h_cols)
+            w_cols.append(f"0D AS w{j}")
+            h_cols.append(f"0D AS h{j}")
+        elif j == 0:
+            factor = _number(np.sqrt(sigma[0]))
+            w_cols.append(f"abs(u0) * {factor} AS w0")
+            h_cols.append(f"abs(v0) * {factor} AS h0")
+        else:
+            side = int(np.argmax(nu[:, j] * nv[:, j]))
+            sign = "" if side == 0 else "-"
+            strength = np.sqrt(sigma[j] * nu[side, j] * nv[side, j])
+            for prefix, norm, out, name in (("u", nu, w_cols, "w"), ("v", nv, h_cols, "h")):
+                factor = strength / norm[side, j] if norm[side, j] > 0 else 0.0
+                value = f"greatest({sign}{prefix}{j}, 0D) * {_number(factor)}"
+                out.append(f"if({value} < 1e-6D, 0D, {value}) AS {name}{j}")
+    return U.selectExpr("row", "fill", "weight", *w_cols), V.selectExpr("col", *h_cols)
 
 
 def _seeded(work: _Work, k: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -270,57 +283,41 @@ def factorise(
     W, H = cut(W), cut(H)
     norm = work.squared_norm()
     history: list[float] = []
-    HH, h_sums = _gram(H, h, more=[F.sum(c) for c in h])
+    HH, h_sums = _gram(H, h, more=_sums(h))
     first = _start_error(work, W, H, w, h, HH, h_sums, norm) if tol > 0 else 0.0
     for sweep in range(1, sweeps + 1):
-        top = work.times_cols(H, h, h_sums)
-        joined = equi_join(W, top.select("row", *[f"y{j}" for j in range(k)]), ["row"])
-        below = _mix(w, HH)
-        W = cut(
-            joined.select(
-                "row",
-                "fill",
-                "weight",
-                *[_step(F.col(w[j]), F.col(f"y{j}"), below[j]).alias(w[j]) for j in range(k)],
-            )
-        )
-        WW, _ = _gram(W, w, F.col("weight"))
-        top, _ = work.times_rows(W, w)
-        joined = equi_join(H, top, ["col"])
-        below = _mix(h, WW)
-        H = cut(
-            joined.select(
-                "col",
-                *[_step(F.col(h[j]), F.col(f"z{j}"), below[j]).alias(h[j]) for j in range(k)],
-                *[f"z{j}" for j in range(k)],
-            )
-        )
-        cross = sum((F.col(h[j]) * F.col(f"z{j}") for j in range(k)), F.lit(0.0))
-        HH, sums = _gram(H, h, more=[*[F.sum(c) for c in h], F.sum(cross)])
+        products = work.times_cols(H, h, h_sums, W)
+        W = cut(products.selectExpr("row", "fill", "weight", *_steps(w, "y", HH)))
+        WW, fills = _gram(W, w, "weight", _sums(w, "weight * fill"))
+        products = work.times_rows(W, w, fills, H.select("col", *h))
+        z = [f"z{j}" for j in range(k)]
+        H = cut(products.selectExpr("col", *_steps(h, "z", WW), *z))
+        cross = "sum(" + " + ".join(f"{c} * z{j}" for j, c in enumerate(h)) + ")"
+        HH, sums = _gram(H, h, more=[*_sums(h), cross])
         h_sums, inner = sums[:k], sums[k]
-        H = H.select("col", *h)
         history.append(0.5 * max(norm - 2 * inner + float((WW * HH).sum()), 0.0))
         if tol > 0 and sweep % 10 == 0:
             before = history[-11] if len(history) > 10 else first
             gain = np.sqrt(2 * before) - np.sqrt(2 * history[-1])
             if first > 0 and gain / np.sqrt(2 * first) < tol:
                 break
-    return Factors(
-        W.select("row", F.array(*w).alias("w")), H.select("col", F.array(*h).alias("h")), k, history
-    )
+    W, H = W.select("row", F.array(*w).alias("w")), H.select("col", F.array(*h).alias("h"))
+    return Factors(W, H, k, history)
 
 
 def _start_error(work, W, H, w, h, HH, h_sums, norm) -> float:
-    top = work.times_cols(H, h, h_sums)
-    both = equi_join(W, top.select("row", *[f"y{j}" for j in range(len(w))]), ["row"])
-    dot = sum((F.col(c) * F.col(f"y{j}") for j, c in enumerate(w)), F.lit(0.0))
-    inner = both.agg(F.sum(F.col("weight") * dot)).first()[0] or 0.0
-    WW, _ = _gram(W, w, F.col("weight"))
+    dot = " + ".join(f"{c} * y{j}" for j, c in enumerate(w))
+    inner = work.times_cols(H, h, h_sums, W).selectExpr(f"sum(weight * ({dot}))").first()[0] or 0.0
+    WW, _ = _gram(W, w, "weight")
     return 0.5 * max(norm - 2 * inner + float((WW * HH).sum()), 0.0)
 
 
-def _step(value: Column, top: Column, below: Column) -> Column:
-    return value * top / F.when(below == 0, F.lit(_TINY)).otherwise(below)
+def _steps(names: list[str], top: str, gram: np.ndarray) -> list[str]:
+    """value * top / below for each part; a denominator of 0 becomes a tiny number."""
+    return [
+        f"{c} * {top}{j} / if(({below}) = 0D, {_number(_TINY)}, {below}) AS {c}"
+        for j, (c, below) in enumerate(zip(names, (f"({m})" for m in _mix(names, gram)), strict=True))
+    ]
 
 
 def reconstruct(
@@ -337,5 +334,5 @@ def reconstruct(
     ``W`` has (``time``, w) and ``H`` has (``site``, h). The grid of all pairs is not built.
     """
     out = equi_join(equi_join(requested, W, [time], "left"), H, [site], "left")
-    dot = sum((F.get("w", F.lit(j)) * F.get("h", F.lit(j)) for j in range(rank)), F.lit(0.0))
-    return out.select(*cols(requested.columns), dot.alias(name))
+    dot = " + ".join(f"get(w, {j}) * get(h, {j})" for j in range(rank))
+    return out.select(*cols(requested.columns), F.expr(dot).alias(name))

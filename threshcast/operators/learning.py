@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from threshcast.functions.columns import col
 from threshcast.operators.cleaning import fill_missing, fill_values
-from threshcast.operators.encoding import apply_codes, fit_codes
+from threshcast.operators.encoding import apply_codes, code_counts, fit_codes
 
 #: Largest number of classes a tree treats as unordered; more are used as ordered codes.
 NOMINAL_LIMIT = 64
@@ -41,9 +41,8 @@ class FeatureFrame:
         means = {c: means.get(c, 0.0) for c in numeric}
         if not labels:
             return cls(numeric, [], means, None, {})
-        codes = fit_codes(df, list(labels)).persist()
-        counted = codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
-        return cls(numeric, labels, means, codes, {r["column"]: r["n"] for r in counted})
+        codes = fit_codes(df, list(labels))
+        return cls(numeric, labels, means, codes, code_counts(codes))
 
     @property
     def names(self) -> list[str]:
@@ -61,7 +60,8 @@ class FeatureFrame:
         if self.labels:
             out = out.withColumns({f"__x_{c}": col(c) for c in self.labels})
             codes = self.codes.withColumn("column", F.concat(F.lit("__x_"), "column"))
-            out = apply_codes(out, codes, [f"__x_{c}" for c in self.labels])
+            counts = {f"__x_{c}": n for c, n in self.sizes.items()}
+            out = apply_codes(out, codes, [f"__x_{c}" for c in self.labels], counts=counts)
             for c in self.labels:
                 n = self.sizes.get(c, 0)
                 meta = {"type": "nominal", "num_vals": n + 1} if n < NOMINAL_LIMIT else {}

@@ -78,7 +78,7 @@ def order_statistic(
         bounds = weighted.groupBy(*keys).agg(
             F.array_distinct(F.percentile_approx("__v", grid, 20_000)).alias("__bounds")
         )
-        placed = _join(weighted, broadcast_if_small(bounds, 20_000), keys).withColumn(
+        placed = _join(weighted, broadcast_if_small(bounds, 20_000, derived=True), keys).withColumn(
             "__slot", interval_index(F.col("__v"), F.col("__bounds"))
         )
         counts = placed.groupBy(*keys, "__slot").agg(F.sum("__w").alias("__c"))
@@ -92,6 +92,7 @@ def order_statistic(
             )
             .select(*keys, "__slot", "__from")
         )
+        chosen = cut(chosen)
         kept = _join(placed, broadcast_if_small(chosen), [*keys, "__slot"])
         weighted = cut(kept.groupBy(*keys, "__v").agg(F.sum("__w").alias("__w")))
         gone = chosen.groupBy(*keys).agg(F.min("__from").alias("__gone"))

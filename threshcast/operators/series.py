@@ -73,7 +73,7 @@ def split_series(
     grid = [i / pieces for i in range(1, pieces)]
     long_ones = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows)
     long_ones = broadcast_if_small(
-        long_ones.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__n")
+        long_ones.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__n"), derived=True
     )
     same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
     bounds = (
@@ -94,7 +94,7 @@ def split_series(
     piece = F.coalesce(interval_index(F.col(time), F.col("__bounds")), F.lit(0))
     # a missing time sorts after every other one
     piece = F.when(F.col(time).isNull(), F.size("__bounds")).otherwise(piece)
-    return df.join(broadcast_if_small(bounds), same, "left").select(
+    return df.join(broadcast_if_small(bounds, derived=True), same, "left").select(
         *cols(df.columns), F.when(F.col("__bounds").isNull(), 0).otherwise(piece).alias(_PIECE)
     )
 
@@ -176,7 +176,7 @@ def past_features(
     state = body.groupBy(*piece_keys).agg(*totals).withColumns(carry)
     state = state.select(*[F.col(k).alias(f"__k_{k}") for k in piece_keys], *carry)
     same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in piece_keys]
-    joined = body.join(broadcast_if_small(state), same, "left")
+    joined = body.join(broadcast_if_small(state, derived=True), same, "left")
 
     out = {}
     for j, s in enumerate(specs):

@@ -256,7 +256,9 @@ def evaluate_models(
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, forecasts) of several models; scores per model, data set and fold, with the
-    pooled rows as fold 'overall', from one aggregation over the forecasts."""
+    pooled rows as fold 'overall', from one aggregation over the forecasts.
+
+    Fitting reads the table many times; it is best prepared once and written, or persisted."""
     parts = [
         fold_forecasts(make, df, periods, layout, **options).withColumn("model", F.lit(name))
         for name, make in makers.items()

@@ -43,6 +43,13 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count; a larger side is left to a shuffled join."""
+def broadcast_if_small(
+    df: DataFrame, rows: int = BROADCAST_ROWS, derived: bool = False
+) -> DataFrame:
+    """Broadcast hint behind a row count; a larger side is left to a shuffled join.
+
+    A side ``derived`` from large data is checkpointed first, so that counting it and joining
+    it do not compute it twice.
+    """
+    df = cut(df) if derived else df
     return F.broadcast(df) if fits(df, rows) else df
