@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threshcast.functions.columns import col, label_text
+from threshcast.functions.columns import label_text
 from threshcast.operators.cleaning import text_columns
 from threshcast.operators.selection import SORT_ROWS, global_index
 from threshcast.session import BROADCAST_ROWS, broadcast_if_small, cut, fits

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshcast.functions.columns import key_fraction
+from threshcast.functions.columns import cols as named, key_fraction
 from threshcast.operators.joins import equi_join
 from threshcast.operators.matrix import day_values, prepared_target, row_means
 from threshcast.operators.series import SERIES_ROWS, largest_group
@@ -335,4 +335,4 @@ def reconstruct(
     """
     out = equi_join(equi_join(requested, W, [time], "left"), H, [site], "left")
     dot = " + ".join(f"get(w, {j}) * get(h, {j})" for j in range(rank))
-    return out.select(*cols(requested.columns), F.expr(dot).alias(name))
+    return out.select(*named(requested.columns), F.expr(dot).alias(name))

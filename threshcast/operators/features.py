@@ -78,8 +78,9 @@ def engineer_features(
     target: str = "Enterococci",
     threshold: float = EXCEEDANCE,
     rows: int = SERIES_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Calendar, wind and past features; the season and the year are dropped afterwards."""
     out = add_shore_classes(add_calendar(df, time))
-    out = recent_history(out, site, season, time, target, threshold, rows=rows)
+    out = recent_history(out, site, season, time, target, threshold, rows=rows, longest=longest)
     return out.drop(season, "YEAR")

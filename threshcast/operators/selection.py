@@ -62,17 +62,17 @@ def order_statistic(
     rows = df.withColumn("__all", F.lit(0)) if not groups else df
     rows = rows.select(*keys, value.cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select(
-        *keys,
-        "n",
-        first_rank.cast("long").alias("__lo"),
-        last_rank.cast("long").alias("__hi"),
-        F.lit(0).cast("long").alias("__below"),
+    sizes = cut(
+        sizes.select(
+            *keys,
+            "n",
+            first_rank.cast("long").alias("__lo"),
+            last_rank.cast("long").alias("__hi"),
+            F.lit(0).cast("long").alias("__below"),
+        )
     )
-    if (sizes.agg(F.max("n")).first()[0] or 0) > sort_rows:
-        sizes = cut(sizes)
     weighted = rows.withColumn("__w", F.lit(1).cast("long"))
-    longest = largest_group(rows, keys)
+    longest = sizes.agg(F.max("n")).first()[0] or 0
     while longest > sort_rows:
         grid = [i / 1000 for i in range(1, 1000)]
         bounds = weighted.groupBy(*keys).agg(
@@ -122,13 +122,12 @@ def order_statistic(
     ).withColumn("__take", F.greatest(F.col("__b") - F.col("__a") + 1, F.lit(0)))
     taken = F.sum("__take")
     picked = placed.groupBy(*keys).agg(
-        F.max("n").alias("n"),
         F.when(
             taken == F.max(F.col("__hi") - F.col("__lo") + 1),
             F.sum(F.when(F.col("__take") > 0, F.col("__v") * F.col("__take"))) / taken,
         ).alias(name),
     )
-    return picked.select(*groups, "n", name)
+    return _join(sizes.select(*keys, "n"), picked, keys, "left").select(*groups, "n", name)
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -59,13 +59,22 @@ def interval_index(value: Column, bounds: Column) -> Column:
 
 
 def split_series(
-    df: DataFrame, keys: Sequence[str], time: str, rows: int = SERIES_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    rows: int = SERIES_ROWS,
+    longest: int | None = None,
 ) -> DataFrame | None:
     """Add a piece number to the rows of series longer than ``rows``; None if there is none.
 
+    ``longest`` is an upper bound of the series length, when the caller has one; otherwise the
+    rows of each series are counted.
+
     Cut points come from one mergeable quantile sketch per long series, so at most
     2 * (total rows / ``rows``) of them exist in all.
     """
+    if longest is not None and longest <= rows:
+        return None
     longest = largest_group(df, keys)
     if longest <= rows:
         return None
@@ -130,10 +139,11 @@ def past_features(
     time: str,
     specs: Sequence[Past],
     rows: int = SERIES_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Add one column per :class:`Past`. (``keys``, ``time``) should identify a row."""
     order = F.col(time).asc_nulls_last()
-    split = split_series(df, keys, time, rows)
+    split = split_series(df, keys, time, rows, longest)
     if split is None:
         w = Window.partitionBy(*keys).orderBy(order)
 
@@ -210,6 +220,7 @@ def recent_history(
     mean_name: str = "Site_Season_Average",
     rate_name: str = "Site_Historical_Exceedance_Rate",
     rows: int = SERIES_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Mean of up to ``size`` previous values and the past exceedance rate, per site and season.
 
@@ -226,6 +237,7 @@ def recent_history(
             Past("__seen", F.lit(1), "count"),
         ],
         rows,
+        longest,
     )
     grouped = F.col(site).isNotNull() & F.col(season).isNotNull()
     rate = F.coalesce("__hits", F.lit(0)) / (F.coalesce("__seen", F.lit(0)) + 1)

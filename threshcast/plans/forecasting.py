@@ -39,6 +39,7 @@ from threshcast.operators.quantiles import (
     point_forecast,
 )
 from threshcast.operators.scoring import fold_scores, score
+from threshcast.operators.series import largest_group
 from threshcast.sources.tables import ROW_ID
 
 log = logging.getLogger(__name__)
@@ -70,7 +71,11 @@ def prepare(raw: DataFrame, layout: Layout = Layout(), order: Sequence[str] = (R
     """Raw observations to features. The target is clipped before the past features are taken,
     in training and in prediction alike."""
     clean = clean_observations(raw, order, layout.site, layout.time, layout.target)
-    return engineer_features(clean, layout.site, layout.time, layout.season, layout.target)
+    # raw series are at least as long as cleaned ones, and counting them reads two columns
+    longest = largest_group(raw, [layout.site, layout.season])
+    return engineer_features(
+        clean, layout.site, layout.time, layout.season, layout.target, longest=longest
+    )
 
 
 # -- forecasters: settings with fit(df) -> model with predict(df) --------------------------
