@@ -34,7 +34,7 @@ class PoissonBoost:
     row_period: int = 5
     feature_share: float = 0.8
     seed: int = 42
-    cut_every: int = 5
+    cut_every: int = 10
 
     def fit(
         self, df: DataFrame, frame: FeatureFrame, target: str, keys: list[str]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from threshcast.functions.columns import cols as named, key_fraction
 from threshcast.operators.joins import equi_join
-from threshcast.operators.matrix import day_values, prepared_target, row_means
+from threshcast.operators.matrix import row_means, target_days
 from threshcast.operators.series import SERIES_ROWS, largest_group
 from threshcast.session import BROADCAST_ROWS, cut
 
@@ -58,11 +58,11 @@ def implicit_target_matrix(
     obs: DataFrame, time: str, site: str, value: str, order=(), fill_target: bool = True
 ) -> ImplicitMatrix:
     """The completed target matrix as day rows, each weighted by its number of times."""
-    filled = prepared_target(obs, time, site, value, order, fill_target)
-    entries = day_values(filled, time, site, value).select(
-        F.col("day").alias("row"), F.col(site).alias("col"), F.col(value).alias("x")
+    days = target_days(obs, time, site, value, order, fill_target)
+    entries = cut(
+        days.select(F.col("day").alias("row"), F.col(site).alias("col"), F.col(value).alias("x"))
     )
-    times = filled.filter(F.col(time).isNotNull()).groupBy(F.to_date(time).alias("row"))
+    times = obs.filter(F.col(time).isNotNull()).groupBy(F.to_date(time).alias("row"))
     weights = times.agg(F.countDistinct(time).alias("weight"))
     means = row_means(entries, "row", "x").withColumnRenamed("row_mean", "fill")
     return ImplicitMatrix(entries, equi_join(means, weights, ["row"]))

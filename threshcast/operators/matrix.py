@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from threshcast.functions.columns import col
 from threshcast.operators.cleaning import keep_first
 from threshcast.operators.joins import equi_join
-from threshcast.session import broadcast_if_small
+from threshcast.session import broadcast_if_small, cut
+
+#: Sites one block of a grid holds.
+GRID_BLOCK = 1000
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -25,21 +28,33 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 def complete_grid(obs: DataFrame, time: str, site: str, value: str) -> DataFrame:
     """All distinct times with all distinct sites, NULL where there is no observation.
 
-    The full grid is the result asked for here; both sides are distinct lists and the
-    observations join it by key. Factorisation does not use it (see ``factors``).
+    The full grid is the result asked for here (factorisation does without it, see
+    ``factors``). Sites are cut into blocks of about ``GRID_BLOCK``; each time is repeated per
+    block and meets the sites of that block by an equi-join. With few sites the list is
+    broadcast and times stay where they are; with many, blocks spread over the tasks.
     """
-    times, sites = distinct_values(obs, time), distinct_values(obs, site)
-    grid = times.crossJoin(broadcast_if_small(sites))
+    times = distinct_values(obs, time)
+    sites = cut(distinct_values(obs, site))
+    blocks = max(1, -(-sites.count() // GRID_BLOCK))
+    sites = sites.withColumn("__block", F.pmod(F.xxhash64(site), F.lit(blocks)).cast("int"))
+    times = times.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    grid = times.join(broadcast_if_small(sites), "__block").drop("__block")
     return equi_join(grid, obs.select(time, site, value), [time, site], "left")
 
 
-def day_values(obs: DataFrame, time: str, site: str, value: str) -> DataFrame:
-    """First non-missing value by time of each (day, site): an aggregate, no window."""
+def day_values(
+    obs: DataFrame, time: str, site: str, value: str, order: Sequence[str] = ()
+) -> DataFrame:
+    """First non-missing value by time of each (day, site): an aggregate, no window.
+
+    Several values of one time are told apart by ``order``, then by size.
+    """
     known = obs.filter(
         F.col(value).isNotNull() & F.col(time).isNotNull() & F.col(site).isNotNull()
     )
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([time, *order, value])])
     return known.groupBy(F.to_date(time).alias("day"), site).agg(
-        F.min_by(value, time).cast("double").alias(value)
+        F.min_by(value, place).cast("double").alias(value)
     )
 
 
@@ -78,15 +93,14 @@ def target_matrix(
 
     Means and holes are handled on (day, site); times join by day at the end.
     """
-    filled = prepared_target(obs, time, site, value, order, fill_target)
-    days = day_values(filled, time, site, value)
+    days = cut(target_days(obs, time, site, value, order, fill_target))
     grid = complete_grid(days, "day", site, value)
     grid = fill_row_means(grid, "day", value)
-    times = distinct_values(filled, time).withColumn("day", F.to_date(time))
+    times = distinct_values(obs, time).withColumn("day", F.to_date(time))
     return times.join(grid, "day").select(time, site, value)
 
 
-def prepared_target(
+def target_days(
     obs: DataFrame,
     time: str,
     site: str,
@@ -94,12 +108,18 @@ def prepared_target(
     order: Sequence[str] = (),
     fill_target: bool = True,
 ) -> DataFrame:
-    """The (time, site, value) observations a matrix is built from."""
+    """(day, site, value) a matrix is built from.
+
+    With a filled target the first row of a key is also the first of its day, so one
+    aggregation does both; otherwise a first row without value must hide the later ones.
+    """
     cells = obs.select(*dict.fromkeys([time, site, value, *order]))
     if fill_target:
         mean = cells.agg(F.avg(value)).first()[0]
         cells = cells.withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(mean)))
-    return keep_first(cells, [time, site], list(order) or [value]).select(time, site, value)
+    else:
+        cells = keep_first(cells, [time, site], list(order) or [value])
+    return day_values(cells, time, site, value, order)
 
 
 def to_wide(cells: DataFrame, row: str, column: str, value: str, columns: Sequence) -> DataFrame:

@@ -16,6 +16,7 @@ from threshcast.operators.factors import Factors, factorise, implicit_target_mat
 from threshcast.operators.joins import equi_join
 from threshcast.operators.learning import FeatureFrame, read_state, write_state
 from threshcast.operators.matrix import group_means
+from threshcast.session import broadcast_if_small
 
 
 class FactorForest:
@@ -153,6 +154,8 @@ class MatrixForecasterModel:
         s = self.settings
         W = self.temporal.predict(s.times_of(df), "w").select(s.time, "w")
         H = self.spatial.predict(s.sites_of(df), "h").select(s.site, "h")
+        # short factor tables spare the requested rows a shuffle per side
+        W, H = broadcast_if_small(W, derived=True), broadcast_if_small(H, derived=True)
         out = reconstruct(df, W, H, s.time, s.site, s.rank, name)
         return out.withColumn(name, constrain_forecast(name)) if constrained else out
 

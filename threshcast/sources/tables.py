@@ -128,9 +128,7 @@ def write_fold_features(
 ) -> None:
     """Feature rows of each data set and fold, one folder per pair.
 
-    The rows are spread by (dataset, fold, random) first: each folder gets files of even size
-    from many tasks, also when one fold holds most rows.
+    Every task writes its rows into the folders they belong to; rows are not gathered by fold,
+    as one fold may hold most of them.
     """
-    spread = folds.withColumn("__spread", F.floor(F.rand(1) * 8))
-    spread = spread.repartition("dataset", "fold", "__spread").drop("__spread")
-    write_table(spread, path, fmt, ["dataset", "fold"], mode)
+    write_table(folds, path, fmt, ["dataset", "fold"], mode)
