@@ -1,16 +1,19 @@
-"""Queries that fit models. No SQL twin: the tests check their invariants.
+"""Queries that fit models.
 
-Settings are kept small; the defaults of the operators are larger.
+Trees grown on many features have no SQL twin; the tests check their invariants. On one
+two-valued feature a tree is known beforehand, so boosting, forests and the evaluation flow are
+checked by SQL there. Settings are kept small; the defaults of the operators are larger.
 """
 
 from pyspark.sql import functions as F
 
 from threshcast.catalogue.base import events_as_observations, query, rounded
-from threshcast.functions.columns import calendar_columns
+from threshcast.catalogue.evaluation import _core_sql
+from threshcast.functions.columns import calendar_columns, cols
 from threshcast.operators.baselines import Baseline
 from threshcast.operators.boosting import PoissonBoost
-from threshcast.operators.factors import Factors
 from threshcast.operators.folds import parse_periods
+from threshcast.operators.joins import equi_join
 from threshcast.operators.learning import FeatureFrame
 from threshcast.operators.matrix_model import MatrixForecaster
 from threshcast.operators.quantiles import MetaLearner, QuantileForest, level_column, out_of_fold
@@ -183,17 +186,6 @@ def matrix_forecast(spark, folder):
     return rounded(model.predict(test).select("site", "t", "y", "predictions"))
 
 
-@query()
-def factor_sink(spark, folder):
-    """Factors written to the shared folder and read back."""
-    from threshcast.operators.factors import factorise, implicit_target_matrix
-
-    x = implicit_target_matrix(events_as_observations(spark, folder), "t", "season", "y")
-    path = fresh_path(spark, "factors")
-    factorise(x, 2, "seeded", sweeps=2, tol=0).write(path)
-    return rounded(Factors.read(spark, path).H.select("col", F.posexplode("h").alias("j", "value")))
-
-
 @query()
 def linear_baseline(spark, folder):
     train, test = _split(learning_table(spark, folder))
@@ -262,3 +254,161 @@ def model_scores(spark, folder):
     train, test = _split(learning_table(spark, folder))
     forecast = Baseline("tree").fit(train, _frame(train), "y").predict(test)
     return rounded(score(forecast, "y", "predictions", (), "core", _HIGH, _WARN))
+
+
+# -- models with a closed form -------------------------------------------------------------
+
+_WEEK = """e AS (SELECT event_id, user_id AS site, ts AS t, event_type AS season, value AS y,
+    CAST(isodow(ts) >= 6 AS DOUBLE) AS weekend FROM events)"""
+
+
+def _two_valued(spark, folder):
+    weekend = calendar_columns("t")["WEEKEND"].cast("double")
+    return events_as_observations(spark, folder).withColumn("weekend", weekend)
+
+
+_ROUND = """, f{n} AS (SELECT weekend, f + 0.3 * (m / exp(f) - 1) AS f, m FROM f{o})"""
+
+
+@query(
+    "WITH "
+    + _WEEK
+    + """, f0 AS (SELECT weekend, ln((SELECT avg(y) FROM e)) AS f, avg(y) AS m FROM e GROUP BY weekend)"""
+    + "".join(_ROUND.format(n=i, o=i - 1) for i in (1, 2, 3))
+    + """ SELECT event_id, round(exp(f), 5) AS mean, round_even(CASE WHEN exp(f) < 5 THEN 5 ELSE exp(f) END, 0)
+  AS predictions FROM e JOIN f3 USING (weekend)"""
+)
+def poisson_boosting_two_groups(spark, folder):
+    """Three rounds on weekend or not: each leaf takes the Newton step of its group."""
+    df = _two_valued(spark, folder)
+    boost = PoissonBoost(3, 0.3, 2, row_share=1.0, feature_share=1.0)
+    model = boost.fit(df, FeatureFrame.fit(df, ["weekend"]), "y", ["event_id"])
+    out = model.predict(model.predict_mean(df, "mean"))
+    return rounded(out.select("event_id", "mean", "predictions"), 5)
+
+
+@query(
+    "WITH "
+    + _WEEK
+    + """, r AS (SELECT weekend, y, row_number() OVER (PARTITION BY weekend ORDER BY y) AS k,
+  count(*) OVER (PARTITION BY weekend) AS n FROM e),
+q AS (SELECT weekend, max(y) FILTER (k = ceil(0.25 * n)) AS a, max(y) FILTER (k = ceil(0.5 * n)) AS b,
+  max(y) FILTER (k = ceil(0.875 * n)) AS c FROM r GROUP BY weekend)
+SELECT event_id, round(a, 6) AS "q_0.25", round(b, 6) AS "q_0.5", round(c, 6) AS "q_0.875" FROM e JOIN q USING (weekend)"""
+)
+def quantile_forest_two_groups(spark, folder):
+    """Leaves are weekend or not, so forecasts are the quantiles of both groups."""
+    df = _two_valued(spark, folder)
+    forest = QuantileForest([0.25, 0.5, 0.875], trees=3, max_depth=2, accuracy=200_000)
+    out = forest.fit(df, FeatureFrame.fit(df, ["weekend"]), "y").predict(df)
+    return rounded(out.select("event_id", *cols(["q_0.25", "q_0.5", "q_0.875"])))
+
+
+@query(
+    "WITH "
+    + _WEEK
+    + """, m AS (SELECT weekend, avg(y) AS m FROM e GROUP BY weekend)
+SELECT event_id, round(m, 6) AS predictions FROM e JOIN m USING (weekend)"""
+)
+def tree_baseline_two_groups(spark, folder):
+    df = _two_valued(spark, folder)
+    model = Baseline("tree").fit(df, FeatureFrame.fit(df, ["weekend"]), "y")
+    return rounded(model.predict(df).select("event_id", "predictions"))
+
+
+@query(
+    "WITH "
+    + _WEEK
+    + """, x AS (SELECT *, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 89 AS DOUBLE) END AS x0 FROM e),
+z AS (SELECT *, coalesce(x0, (SELECT avg(x0) FROM x)) AS x FROM x),
+c AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM z)
+SELECT event_id, round(a + b * x, 5) AS predictions FROM z, c"""
+)
+def linear_baseline_one_feature(spark, folder):
+    """Least squares on one feature whose missing values take its mean."""
+    x = F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 89).cast("double"))
+    df = events_as_observations(spark, folder).withColumn("x", x)
+    model = Baseline("linear", alpha=0.0).fit(df, FeatureFrame.fit(df, ["x"]), "y")
+    return rounded(model.predict(df).select("event_id", "predictions"), 5)
+
+
+class SeasonMean:
+    """Forecast by the training mean of the season; stands in for a learner in flow checks."""
+
+    def fit(self, df):
+        self.means = df.groupBy("season").agg(F.avg("y").alias("predictions"))
+        return self
+
+    def predict(self, df):
+        return equi_join(df, self.means, ["season"], "left")
+
+
+_FLOW = """, m AS (SELECT *, coalesce(y >= 100, false) AS ty, coalesce(p >= 100, false) AS tp FROM fc)"""
+
+
+@query(
+    "WITH "
+    + _WEEK
+    + """, f(fold, s, x) AS (VALUES ('fold_1', TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-22'),
+  ('fold_2', TIMESTAMP '2024-01-22', TIMESTAMP '2024-01-30')),
+r AS (SELECT fold, e.*, CASE WHEN t < s THEN 'train' ELSE 'test' END AS dataset FROM e JOIN f ON t < x
+  WHERE t < s OR site NOT IN (3, 4, 5)),
+g AS (SELECT fold, season, avg(y) * 2.2 AS p FROM r WHERE dataset = 'train' GROUP BY ALL),
+fc AS (SELECT r.*, g.p FROM r LEFT JOIN g USING (fold, season))"""
+    + _FLOW
+    + " SELECT 'mean' AS model, dataset, coalesce(fold, 'overall') AS fold, "
+    + _core_sql()
+    + " FROM m GROUP BY GROUPING SETS ((dataset, fold), (dataset))"
+)
+def tscv_season_mean(spark, folder):
+    """The out-of-time evaluation around a forecast SQL can make: fit per fold, score both sets."""
+    df = events_as_observations(spark, folder).drop("event_id")
+    makers = {"mean": lambda _: _Scaled(2.2)}
+    scores, _ = evaluate_models(makers, df, _PERIODS, LAYOUT, _HIGH, _WARN, untested=[3, 4, 5])
+    return rounded(scores)
+
+
+class _Scaled(SeasonMean):
+    def __init__(self, factor):
+        self.factor = factor
+
+    def predict(self, df):
+        out = super().predict(df)
+        return out.withColumn("predictions", F.col("predictions") * self.factor)
+
+
+@query(
+    "WITH "
+    + _WEEK
+    + """, l AS (SELECT * REPLACE (CASE WHEN site % 2 = 0 THEN t + INTERVAL 1 YEAR ELSE t END AS t) FROM e),
+f(fold, s, x) AS (VALUES ('fold_1', TIMESTAMP '2025-01-10', TIMESTAMP '2025-01-20'),
+  ('fold_2', TIMESTAMP '2025-01-20', TIMESTAMP '2025-01-31')),
+g AS (SELECT fold, season, avg(y) * 2.2 AS p FROM l JOIN f ON t < s GROUP BY ALL),
+fc AS (SELECT fold, l.*, g.p FROM l JOIN f ON t >= s AND t < x LEFT JOIN g USING (fold, season))"""
+    + _FLOW
+    + " SELECT coalesce(fold, 'overall') AS fold, "
+    + _core_sql()
+    + " FROM m GROUP BY GROUPING SETS ((fold), ())"
+)
+def nested_tscv_season_mean(spark, folder):
+    """Nested evaluation: training and validation parts together make the forecast."""
+    later = F.make_interval(years=F.when(F.col("site") % 2 == 0, 1).otherwise(0))
+    df = events_as_observations(spark, folder).withColumn("t", F.col("t") + later)
+    forecasts = fold_forecasts(lambda _: _Scaled(2.2), df, _NESTED, LAYOUT, nested=True)
+    return rounded(fold_scores(forecasts, "y", "predictions", "fold", (), _HIGH, _WARN))
+
+
+@query(
+    "WITH "
+    + _WEEK
+    + """, g AS (SELECT season, avg(y) AS p FROM e WHERE t < TIMESTAMP '2024-01-22' GROUP BY season)
+SELECT site, t, y, season, round(p, 6) AS mean_predictions, round(p * 2.2, 6) AS high_predictions
+FROM e LEFT JOIN g USING (season) WHERE t >= TIMESTAMP '2024-01-22'"""
+)
+def batch_season_mean(spark, folder):
+    """Several models side by side on the requested rows; one that fails is left out."""
+    train, test = _split(events_as_observations(spark, folder).drop("event_id"))
+    models = {"mean": SeasonMean().fit(train), "high": _Scaled(2.2).fit(train)}
+    models["broken"] = lambda: {}["no such model"]
+    out, _ = predict_models(models, test, LAYOUT, _HIGH, _WARN)
+    return rounded(out)

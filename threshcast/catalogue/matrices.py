@@ -22,6 +22,7 @@ from threshcast.operators.matrix import (
     to_long,
     to_wide,
 )
+from threshcast.session import fresh_path
 
 _TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -175,7 +176,7 @@ s{n} AS (SELECT site, ww.j, sum(h.v * ww.v) AS v FROM h{o} h JOIN ww{n} ww ON h.
 h{n} AS (SELECT site, j, h.v * r.v / s.v AS v FROM h{o} h JOIN r{n} r USING (site, j) JOIN s{n} s USING (site, j))"""
 
 
-@query(
+_TWO_SWEEPS = (
     "WITH "
     + _TARGET
     + """, j AS (SELECT unnest(range(2)) AS j),
@@ -186,11 +187,14 @@ h0 AS (SELECT site, j, (((length(site) + 2 * j) % 5) + 1) / 5.0::DOUBLE AS v FRO
     + """ SELECT 'W' AS part, CAST(CAST(t AS DATE) AS VARCHAR) AS key, j, round(avg(v), 5) AS value FROM w2 GROUP BY ALL
 UNION ALL SELECT 'H', site, j, round(v, 5) FROM h2"""
 )
-def nmf_two_sweeps(spark, folder):
-    """Two updates from fixed factors. SQL works on the full hours-by-types matrix, the query
-    on days with weights and without the filled cells."""
+
+
+def _two_sweeps(spark, folder):
     x = implicit_target_matrix(hourly(spark, folder), "t", "site", "v")
-    f = factorise(x, 2, sweeps=2, tol=0, start=_start(x, 2))
+    return factorise(x, 2, sweeps=2, tol=0, start=_start(x, 2))
+
+
+def _long_factors(f):
     W = f.W.select(
         F.lit("W").alias("part"),
         F.col("row").cast("string").alias("key"),
@@ -202,6 +206,21 @@ def nmf_two_sweeps(spark, folder):
     return rounded(W.unionByName(H), 5)
 
 
+@query(_TWO_SWEEPS)
+def nmf_two_sweeps(spark, folder):
+    """Two updates from fixed factors. SQL works on the full hours-by-types matrix, the query
+    on days with weights and without the filled cells."""
+    return _long_factors(_two_sweeps(spark, folder))
+
+
+@query(_TWO_SWEEPS)
+def factor_sink(spark, folder):
+    """Factors written to the shared folder and read back."""
+    path = fresh_path(spark, "factors")
+    _two_sweeps(spark, folder).write(path)
+    return _long_factors(Factors.read(spark, path))
+
+
 @query()
 def nmf_fit(spark, folder):
     """Factors of the completed matrix from the singular-vector start."""
