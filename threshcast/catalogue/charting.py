@@ -97,10 +97,8 @@ def error_histogram(spark, folder):
 @query(
     "WITH "
     + FORECASTS
-    + """, s AS (SELECT event_id % 2003 AS site, t, y, p FROM fc)
-SELECT site, t, round(y, 6) AS y, round(p, 6) AS p FROM
-  (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM s) WHERE n >= 4"""
+    + """ SELECT site, t, round(y, 6) AS y, round(p, 6) AS p FROM
+  (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM fc) WHERE n >= 60"""
 )
 def site_series_rows(spark, folder):
-    fc = forecasts(spark, folder).withColumn("site", F.col("event_id") % 2003)
-    return rounded(site_series(fc, "site", "t", ["y", "p"], 4))
+    return rounded(site_series(forecasts(spark, folder), "site", "t", ["y", "p"], 60))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threshcast.catalogue.base import events_as_observations, query, rounded
 from threshcast.catalogue.evaluation import _core_sql
-from threshcast.functions.columns import calendar_columns, cols
+from threshcast.functions.columns import calendar_columns, cols, key_fraction
 from threshcast.operators.baselines import Baseline
 from threshcast.operators.boosting import PoissonBoost
 from threshcast.operators.folds import parse_periods
@@ -171,9 +171,9 @@ def temporal_factor_forest(spark, folder):
 
 @query()
 def spatial_factor_forest(spark, folder):
-    """Forecast factors of sites, one in five of which is new."""
+    """Forecast factors of sites, about one in five of which is new."""
     df = _matrix_table(spark, folder)
-    model = _matrix_settings(rank=2).fit(df.filter("site % 5 <> 0"))
+    model = _matrix_settings(rank=2).fit(df.filter(key_fraction(["site"], 7) >= 0.2))
     out = model.spatial.predict(model.settings.sites_of(df), "h")
     return rounded(out.select("site", *[F.col("h")[j].alias(f"h{j}") for j in range(2)]))
 

@@ -76,14 +76,14 @@ def keep_first_in_file_order(spark, folder):
     "WITH "
     + FORECASTS
     + """ SELECT e.event_id, e.user_id AS site, round(fc.p, 6) AS mean5_predictions,
-  CASE WHEN e.event_id % 2 = 0 THEN round(e.value * 0.5, 6) END AS half_predictions
+  CASE WHEN e.value > 20 THEN round(e.value * 0.5, 6) END AS half_predictions
 FROM events e LEFT JOIN fc USING (event_id)"""
 )
 def forecast_sink(spark, folder):
     path = fresh_path(spark, "forecasts")
     obs = table(spark, folder, "events").select("event_id", F.col("user_id").alias("site"), "value")
     fc = forecasts(spark, folder).select("event_id", F.col("p").alias("predictions"))
-    half = obs.filter("event_id % 2 = 0").select("event_id", (F.col("value") * 0.5).alias("predictions"))
+    half = obs.filter("value > 20").select("event_id", (F.col("value") * 0.5).alias("predictions"))
     write_forecasts(obs.drop("value"), {"mean5": fc, "half": half}, ["event_id"], path)
     return rounded(spark.read.parquet(path))
 
