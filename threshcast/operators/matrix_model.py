@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from threshcast.functions.columns import cols, constrain_forecast
 from threshcast.operators.cleaning import keep_first
@@ -40,8 +42,9 @@ class FactorForest:
             "features", *[F.col(parts)[j].alias(f"y{j}") for j in range(rank)]
         )
         data = data.persist()
-        models = [
-            RandomForestRegressor(
+
+        def one(j: int) -> RandomForestRegressionModel:
+            return RandomForestRegressor(
                 featuresCol="features",
                 labelCol=f"y{j}",
                 predictionCol=f"p{j}",
@@ -50,8 +53,10 @@ class FactorForest:
                 maxBins=frame.max_bins,
                 seed=seed + j,
             ).fit(data)
-            for j in range(rank)
-        ]
+
+        # the forests are independent and small, so their jobs are submitted side by side
+        with ThreadPool(min(rank, 4)) as pool:
+            models = pool.map(inheritable_thread_target(data.sparkSession)(one), range(rank))
         data.unpersist()
         return cls(models, frame)
 

@@ -78,7 +78,7 @@ def order_statistic(
         bounds = weighted.groupBy(*keys).agg(
             F.array_distinct(F.percentile_approx("__v", grid, 20_000)).alias("__bounds")
         )
-        placed = _join(weighted, broadcast_if_small(bounds, 20_000, derived=True), keys).withColumn(
+        placed = _join(weighted, broadcast_if_small(bounds, 2_000, derived=True), keys).withColumn(
             "__slot", interval_index(F.col("__v"), F.col("__bounds"))
         )
         counts = placed.groupBy(*keys, "__slot").agg(F.sum("__w").alias("__c"))
