@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threshcast.llm import packing, simhash
+from threshcast.llm import packing, simhash, suffixes
 from threshcast.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document after repeated strings of 100 bytes are cut."""
+    return suffixes.digest(suffixes.cut_repeats(table(spark, folder, "documents"), window=100))
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document and their places in sequences of 2048 tokens."""
