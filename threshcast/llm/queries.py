@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threshcast.llm import packing, simhash, suffixes
+from threshcast.llm import order_minhash, packing, secrets, simhash, suffixes
 from threshcast.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +32,21 @@ def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.digest(suffixes.cut_repeats(table(spark, folder, "documents"), window=100))
 
 
+@query
+def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, by pattern and by models trained on the same table."""
+    docs = table(spark, folder, "documents")
+    return secrets.report(docs, secrets.train(docs))
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document and their places in sequences of 2048 tokens."""
     docs = table(spark, folder, "documents")
     return packing.pack_documents(docs, packing.tokenizer_path(), capacity=2048)
+
+
+@query
+def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Order MinHash of every document, of its edited text, and how alike they are."""
+    return order_minhash.compare_edited(table(spark, folder, "documents"))
