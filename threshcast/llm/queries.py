@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threshcast.llm import order_minhash, packing, secrets, simhash, suffixes
+from threshcast.llm import order_minhash, packing, secrets, sentence_pieces, simhash, suffixes
 from threshcast.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def query(fn):
     return fn
 
 
+@query
+def op2_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document and the text they decode to."""
+    model = packing.tokenizer_path("piece_bpe_32k.model")
+    return sentence_pieces.encode_documents(table(spark, folder, "documents"), model)
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
