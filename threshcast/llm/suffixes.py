@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GROUP_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 _SLAB = 1 << 19
 _LOW = np.uint64((1 << 24) - 1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -111,7 +111,9 @@ class Group:
 
 
 def short(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(16)
+    """48 bits of a hash, mixed anew: hashes of anchors are minima, so their high bits are low."""
+    h = (h ^ (h >> np.uint64(33))) * _ODD[1]
+    return (h ^ (h >> np.uint64(29))) * _ODD[2] >> np.uint64(16)
 
 
 def bucket_of(h48: np.ndarray, buckets: int) -> np.ndarray:
@@ -331,9 +333,10 @@ def partial_spans(window, family, rep, common, left, right, ids, group, doc, sta
     early = several[np.lexsort((start[where[several]], doc[where[several]], group[where[several]], ids[where[several]]))]
     own = where[early]
     l, r = left[own], right[own]
-    found_rows, found_windows = [], []
+    width = window - gram + 1
+    repeated = np.zeros((len(early), width), bool)
     side = np.zeros(len(early), np.int64)
-    for d in range(window - gram + 1):
+    for d in range(width):
         if d:
             far = np.flatnonzero(l >= d)
             if not len(far):
@@ -349,20 +352,14 @@ def partial_spans(window, family, rep, common, left, right, ids, group, doc, sta
         _, first = np.unique(both, return_index=True)
         again = np.ones(len(active), bool)
         again[first] = False
-        hit = active[again]
-        found_rows.append(hit)
-        found_windows.append(start[own[hit]] + l[hit] - d)
-    if not found_rows:
-        return []
-    rows, begin = np.concatenate(found_rows), np.concatenate(found_windows)
-    order = np.lexsort((begin, rows))
-    rows, begin = rows[order], begin[order]
-    new = np.flatnonzero(np.r_[True, (np.diff(rows) > 0) | (np.diff(begin) > 1)]) if len(rows) else np.zeros(0, int)
-    if not len(new):
-        return []
-    last = np.r_[new[1:], len(rows)] - 1
-    whose = own[rows[new]]
-    return [(group[whose], doc[whose], begin[new], begin[last] + window)]
+        repeated[active[again], d] = True
+    # a suffix's windows in the order of the text begin at the largest distance
+    edges = np.diff(repeated[:, ::-1].astype(np.int8), axis=1, prepend=0, append=0)
+    row, begin = np.nonzero(edges == 1)
+    _, end = np.nonzero(edges == -1)
+    whose = own[row]
+    origin = start[whose] + l[row] - (width - 1)
+    return [(group[whose], doc[whose], origin + begin, origin + end - 1 + window)]
 
 
 def cut_texts(group: Group, doc, start, end):
