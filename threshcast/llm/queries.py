@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threshcast.llm import order_minhash, packing, secrets, sentence_pieces, simhash, suffixes
+from threshcast.llm import (
+    language,
+    order_minhash,
+    packing,
+    quality,
+    secrets,
+    sentence_pieces,
+    simhash,
+    suffixes,
+)
 from threshcast.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +55,26 @@ def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(docs, secrets.train(docs))
 
 
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document from text, declared language and source."""
+    found = language.of_documents(table(spark, folder, "documents"))
+    return found.select("doc_id", "_language.*")
+
+
+@query
+def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every page: visible text, markup language, address suffix and host."""
+    text = language.fit_text(table(spark, folder, "documents"))
+    html = F.coalesce("html", F.lit(""))
+    seen = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#A-Za-z0-9]+;", " ")
+    marked = F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    pages = table(spark, folder, "pages").select("page_id", "url", seen.alias("text"), marked.alias("marked"))
+    hints = {"declared": F.col("marked"), "address": F.col("url")}
+    found = language.identify(pages, language.fit(pages, text, **hints), **hints)
+    return found.select("page_id", "_language.*")
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document and their places in sequences of 2048 tokens."""
@@ -53,6 +82,13 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(docs, packing.tokenizer_path(), capacity=2048)
 
 
+@query
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    found = quality.judge(table(spark, folder, "documents"))
+    return found.select("doc_id", *quality.COUNTS, "base_failed", "distance", "kept")
+
+
 @query
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Order MinHash of every document, of its edited text, and how alike they are."""
