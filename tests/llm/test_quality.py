@@ -90,8 +90,10 @@ def test_clean_documents_stay_and_junk_goes(spark):
     both = docs.select("doc_id", "text", "lang", "source", "n_chars").union(documents(spark, junk, start=10**6))
     rows = quality.judge(both).collect()
     assert not any(r.kept for r in rows if r.doc_id >= 10**6)
-    good = [r for r in rows if r.doc_id < 10**6 and not r.base_failed]
-    assert sum(r.kept for r in good) >= 0.97 * len(good)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    for quality_label, share in ((1, 0.99), (0, 0.2)):
+        held = [r.kept for r in rows if labels.get(r.doc_id) == quality_label and not r.base_failed]
+        assert sum(held) >= share * len(held) if quality_label else sum(held) <= share * len(held)
 
 
 def test_odd_rows(spark, monkeypatch):

@@ -24,7 +24,7 @@ LEAST_ROWS = 60
 #: Concentration steps at most; fewer when no determinant falls by more than ``STILL``.
 STEPS, STILL = 12, 1e-3
 #: A row is rejected beyond the distance that so small a share of a normal population passes.
-TAIL = 1e-12
+TAIL = 1e-6
 #: Added to the diagonal of every scatter matrix: spread that is never held against a text.
 FLOORS = (0.05, 0.3, 0.3, 0.3)
 _SLAB = 1 << 16
