@@ -19,7 +19,14 @@ from threshcast.operators.factors import (
 )
 from threshcast.operators.folds import parse_periods
 from threshcast.operators.learning import FeatureFrame
-from threshcast.operators.matrix import complete_grid, daily_fill, fill_row_means, target_matrix
+from threshcast.operators.matrix import (
+    complete_pairs,
+    daily_fill,
+    day_values,
+    day_weights,
+    fill_row_means,
+    target_values,
+)
 from threshcast.operators.matrix_model import MatrixForecasterModel
 from threshcast.operators.quantiles import MetaLearner, QuantileForest, out_of_fold
 from threshcast.plans.forecasting import (
@@ -121,24 +128,33 @@ def observed(spark):
     return spark.createDataFrame(rows, "t timestamp_ntz, site string, v double")
 
 
+def all_pairs(obs):
+    times, sites = obs.select("t").distinct(), obs.select("site").distinct()
+    rows = [(t["t"], s["site"]) for t in times.collect() for s in sites.collect()]
+    return obs.sparkSession.createDataFrame(rows, "t timestamp_ntz, site string")
+
+
 def test_matrix_steps(spark):
-    grid = complete_grid(observed(spark), "t", "site", "v")
-    assert grid.count() == 12
-    daily = {(r["t"].day, r["t"].hour, r["site"]): r["v"] for r in daily_fill(grid, "t", "site", "v").collect()}
+    obs = observed(spark)
+    pairs = all_pairs(obs)
+    assert complete_pairs(pairs, obs, "t", "site", "v").count() == pairs.count() == 12
+    found = daily_fill(pairs, obs, "t", "site", "v").collect()
+    daily = {(r["t"].day, r["t"].hour, r["site"]): r["v"] for r in found}
     # the first value of the day also replaces the later 9.0, and reaches back to 8 o'clock
     assert daily[1, 8, "a"] == daily[1, 9, "a"] == 1.0 and daily[1, 8, "b"] == 4.0
     assert daily[2, 9, "a"] is None
-    filled = daily_fill(grid, "t", "site", "v")
-    means = {(r["t"].day, r["site"]): r["v"] for r in fill_row_means(filled, "t", "v").collect()}
+    days = day_values(obs, "t", "site", "v")
+    filled = fill_row_means(pairs, days, "t", "site", "v").collect()
+    means = {(r["t"].day, r["site"]): r["v"] for r in filled}
     assert means[1, "c"] == 2.5 and means[2, "a"] == 6.0 and means[3, "a"] is None
-    whole = fill_row_means(filled, "t", "v", global_mean=True)
+    whole = fill_row_means(pairs, days, "t", "site", "v", day_weights(obs, "t"))
     assert {r["v"] for r in whole.filter("day(t) = 3").collect()} == {(1 + 1 + 4 + 4 + 6) / 5}
 
 
 def test_implicit_matrix_equals_full_one(spark):
     obs = observed(spark)
-    full = {(r["t"], r["site"]): r["v"] for r in target_matrix(obs, "t", "site", "v").collect()}
-    x = implicit_target_matrix(obs, "t", "site", "v")
+    full = {(r["t"], r["site"]): r["v"] for r in target_values(all_pairs(obs), obs, "t", "site", "v").collect()}
+    x = implicit_target_values(all_pairs(obs), obs, "t", "site", "v")
     rows = {r["row"]: (r["fill"], r["weight"]) for r in x.rows.collect()}
     entries = {(r["row"], r["col"]): r["x"] for r in x.entries.collect()}
     assert sum(w for _, w in rows.values()) == 4

@@ -3,8 +3,6 @@
 from pyspark.sql import functions as F
 
 from threshcast.catalogue.base import query, rounded, table
-from threshcast.functions.columns import to_hour
-from threshcast.operators.cleaning import keep_first
 from threshcast.operators.factors import (
     Factors,
     dense_matrix,
@@ -13,112 +11,127 @@ from threshcast.operators.factors import (
     reconstruct,
 )
 from threshcast.operators.matrix import (
-    complete_grid,
+    complete_pairs,
     daily_fill,
     day_values,
+    day_weights,
     fill_row_means,
     group_means,
-    target_matrix,
+    target_values,
     to_long,
     to_wide,
 )
-from threshcast.session import fresh_path
+from threshcast.session import cut, fresh_path
 
 _TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-def hourly(spark, folder):
-    """First event of each hour and type; some have a missing value."""
+def observed_cells(spark, folder):
+    """Every event as a cell of the time-by-user matrix; some have a missing value."""
     ev = table(spark, folder, "events")
-    cells = ev.select(
-        to_hour("ts").alias("t"),
-        F.col("event_type").alias("site"),
-        F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"),
-        "ts",
+    value = F.when(F.col("event_id") % 7 != 0, F.col("value"))
+    return ev.select(F.col("ts").alias("t"), F.col("user_id").alias("site"), value.alias("v"), "event_id")
+
+
+def requested(spark, folder):
+    """Every event's own cell, that of the next user, and one of a day without any value."""
+    ev = table(spark, folder, "events").select("event_id", F.col("ts").alias("t"), F.col("user_id").alias("site"))
+    part = lambda k, t, s: ev.select("event_id", F.lit(k).alias("part"), t.alias("t"), s.alias("site"))
+    later = F.col("t") + F.make_interval(years=F.lit(9))
+    return (
+        part("own", F.col("t"), F.col("site"))
+        .union(part("next", F.col("t"), F.col("site") + 1))
+        .union(part("later", later, F.col("site")))
     )
-    return keep_first(cells, ["t", "site"], ["ts"]).select("t", "site", "v")
-
-
-_HOURLY = """h AS (SELECT t, site, v FROM (
-  SELECT date_trunc('hour', ts) AS t, event_type AS site,
-    CASE WHEN event_id % 7 <> 0 THEN value END AS v,
-    row_number() OVER (PARTITION BY date_trunc('hour', ts), event_type ORDER BY ts) AS rn FROM events)
-  WHERE rn = 1)"""
-_GRID = (
-    _HOURLY
-    + """, g AS (SELECT t, site, v FROM (SELECT DISTINCT t FROM h) CROSS JOIN (SELECT DISTINCT site FROM h)
-  LEFT JOIN h USING (t, site))"""
-)
-_DAILY = (
-    _GRID
-    + """, d AS (SELECT t, site, first(v ORDER BY t) FILTER (v IS NOT NULL)
-  OVER (PARTITION BY site, CAST(t AS DATE)) AS v FROM g)"""
+
+
+_CELLS = """h AS (SELECT ts AS t, user_id AS site, CASE WHEN event_id % 7 <> 0 THEN value END AS v, event_id FROM events),
+q AS (SELECT event_id, 'own' AS part, ts AS t, user_id AS site FROM events
+  UNION ALL SELECT event_id, 'next', ts, user_id + 1 FROM events
+  UNION ALL SELECT event_id, 'later', ts + INTERVAL 9 YEAR, user_id FROM events)"""
+_DAYS = (
+    _CELLS
+    + """, f AS (SELECT site, CAST(t AS DATE) AS day, first(v ORDER BY t, event_id) AS v FROM h WHERE v IS NOT NULL GROUP BY ALL),
+m AS (SELECT day, avg(v) AS v FROM f GROUP BY day), n AS (SELECT CAST(t AS DATE) AS day, count(DISTINCT t) AS w FROM h GROUP BY ALL)"""
 )
 
 
-@query("WITH " + _GRID + " SELECT t, site, v FROM g")
+@query(
+    "WITH "
+    + _CELLS
+    + " SELECT q.event_id, q.part, q.t, q.site, h.v FROM q LEFT JOIN h ON h.t = q.t AND h.site = q.site"
+)
 def grid_complete(spark, folder):
-    return complete_grid(hourly(spark, folder), "t", "site", "v")
+    """Requested pairs of the grid, with or without an observation."""
+    return complete_pairs(requested(spark, folder), observed_cells(spark, folder), "t", "site", "v")
 
 
-_DAY_FIRST = (
-    _GRID
-    + """, f AS (SELECT site, CAST(t AS DATE) AS day, arg_min(v, t) AS v FROM h WHERE v IS NOT NULL GROUP BY ALL),
-d AS (SELECT g.t, g.site, f.v FROM g LEFT JOIN f ON f.site = g.site AND f.day = CAST(g.t AS DATE))"""
+@query(
+    "WITH "
+    + _DAYS
+    + """ SELECT q.event_id, q.part, q.t, q.site, f.v FROM q LEFT JOIN f
+ON f.site = q.site AND f.day = CAST(q.t AS DATE)"""
 )
+def daily_fill_values(spark, folder):
+    cells = observed_cells(spark, folder)
+    return daily_fill(requested(spark, folder), cells, "t", "site", "v", ["event_id"])
 
 
-@query("WITH " + _DAY_FIRST + " SELECT t, site, v FROM d")
-def daily_fill_values(spark, folder):
-    cells = complete_grid(hourly(spark, folder), "t", "site", "v")
-    return daily_fill(cells, "t", "site", "v")
+_FILLED = """ FROM q LEFT JOIN f ON f.site = q.site AND f.day = CAST(q.t AS DATE) LEFT JOIN m ON m.day = CAST(q.t AS DATE)"""
 
 
-@query(
-    "WITH "
-    + _GRID
-    + " SELECT t, site, round(coalesce(v, avg(v) OVER (PARTITION BY t)), 6) AS v FROM g"
-)
+@query("WITH " + _DAYS + " SELECT q.event_id, q.part, q.t, q.site, round(coalesce(f.v, m.v), 6) AS v" + _FILLED)
 def row_mean_fill(spark, folder):
-    cells = complete_grid(hourly(spark, folder), "t", "site", "v")
-    return rounded(fill_row_means(cells, "t", "v"))
+    days = cut(day_values(observed_cells(spark, folder), "t", "site", "v", ["event_id"]))
+    return rounded(fill_row_means(requested(spark, folder), days, "t", "site", "v"))
 
 
 @query(
     "WITH "
-    + _GRID
-    + """ SELECT t, site, round(coalesce(v, avg(v) OVER (PARTITION BY t), (SELECT avg(v) FROM g)), 6) AS v FROM g"""
+    + _DAYS
+    + """ SELECT q.event_id, q.part, q.t, q.site, round(coalesce(f.v, m.v,
+  (SELECT sum(f.v * n.w) / sum(n.w) FROM f JOIN n USING (day))), 6) AS v"""
+    + _FILLED
 )
 def row_mean_fill_global(spark, folder):
-    cells = complete_grid(hourly(spark, folder), "t", "site", "v")
-    return rounded(fill_row_means(cells, "t", "v", global_mean=True))
+    cells = observed_cells(spark, folder)
+    days = cut(day_values(cells, "t", "site", "v", ["event_id"]))
+    filled = fill_row_means(requested(spark, folder), days, "t", "site", "v", day_weights(cells, "t"))
+    return rounded(filled)
 
 
+_TARGET_DAYS = (
+    _CELLS
+    + """, i AS (SELECT t, site, coalesce(v, (SELECT avg(v) FROM h)) AS v, event_id FROM h),
+f AS (SELECT site, CAST(t AS DATE) AS day, first(v ORDER BY t, event_id) AS v FROM i GROUP BY ALL),
+m AS (SELECT day, avg(v) AS v FROM f GROUP BY day)"""
+)
 _TARGET = (
-    _HOURLY
-    + """, i AS (SELECT t, site, coalesce(v, (SELECT avg(v) FROM h)) AS v FROM h),
-f AS (SELECT site, CAST(t AS DATE) AS day, arg_min(v, t) AS v FROM i GROUP BY ALL),
-g AS (SELECT t, s.site, f.v FROM (SELECT DISTINCT t FROM i) x CROSS JOIN (SELECT DISTINCT site FROM i) s
-  LEFT JOIN f ON f.site = s.site AND f.day = CAST(x.t AS DATE)),
-x AS (SELECT t, site, coalesce(v, avg(v) OVER (PARTITION BY t)) AS v FROM g)"""
+    "WITH " + _TARGET_DAYS + " SELECT q.event_id, q.part, q.t, q.site, round(coalesce(f.v, m.v), 6) AS v" + _FILLED
 )
 
 
-@query("WITH " + _TARGET + " SELECT t, site, round(v, 6) AS v FROM x")
+def target(spark, folder):
+    cells = observed_cells(spark, folder)
+    return target_values(requested(spark, folder), cells, "t", "site", "v", ["event_id"])
+
+
+@query(_TARGET)
 def target_matrix_long(spark, folder):
-    return rounded(target_matrix(hourly(spark, folder), "t", "site", "v"))
+    return rounded(target(spark, folder))
 
 
 def _daily_cells(spark, folder):
-    cells = day_values(hourly(spark, folder), "t", "site", "v")
-    return cells.withColumn("day", F.col("day").cast("string"))
+    """First value of each day and event type."""
+    ev = table(spark, folder, "events")
+    value = F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v")
+    cells = ev.select(F.col("ts").alias("t"), F.col("event_type").alias("site"), value, "event_id")
+    days = day_values(cells, "t", "site", "v", ["event_id"])
+    return days.withColumn("day", F.col("day").cast("string"))
 
 
-_DAY_CELLS = (
-    _HOURLY
-    + """, c AS (SELECT CAST(CAST(t AS DATE) AS VARCHAR) AS day, site, arg_min(v, t) AS v FROM h
-  WHERE v IS NOT NULL GROUP BY ALL)"""
-)
+_DAY_CELLS = """c AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS site,
+  first(value ORDER BY ts, event_id) AS v FROM events WHERE event_id % 7 <> 0 AND value IS NOT NULL GROUP BY ALL)"""
 
 
 @query(
@@ -154,7 +167,7 @@ def group_feature_mean(spark, folder):
 
 def _start(x, rank):
     """Fixed factors that SQL can compute too."""
-    day, size = F.dayofmonth("row"), F.length("col")
+    day, size = F.dayofmonth("row"), F.col("col")
     w = [(((day + 3 * j) % 7) + 1) / 7.0 for j in range(rank)]
     h = [(((size + 2 * j) % 5) + 1) / 5.0 for j in range(rank)]
     W = x.rows.select("row", F.array(*w).alias("w"))
@@ -178,19 +191,21 @@ h{n} AS (SELECT site, j, h.v * r.v / s.v AS v FROM h{o} h JOIN r{n} r USING (sit
 
 _TWO_SWEEPS = (
     "WITH "
-    + _TARGET
-    + """, j AS (SELECT unnest(range(2)) AS j),
+    + _TARGET_DAYS
+    + """, x AS (SELECT a.t, s.site, coalesce(f.v, m.v) AS v FROM (SELECT DISTINCT t FROM h) a
+  CROSS JOIN (SELECT DISTINCT site FROM h) s LEFT JOIN f ON f.site = s.site AND f.day = CAST(a.t AS DATE)
+  LEFT JOIN m ON m.day = CAST(a.t AS DATE)), j AS (SELECT unnest(range(2)) AS j),
 w0 AS (SELECT t, j, (((day(t) + 3 * j) % 7) + 1) / 7.0::DOUBLE AS v FROM (SELECT DISTINCT t FROM x), j),
-h0 AS (SELECT site, j, (((length(site) + 2 * j) % 5) + 1) / 5.0::DOUBLE AS v FROM (SELECT DISTINCT site FROM x), j)"""
+h0 AS (SELECT site, j, (((site + 2 * j) % 5) + 1) / 5.0::DOUBLE AS v FROM (SELECT DISTINCT site FROM x), j)"""
     + _sweep_sql(1)
     + _sweep_sql(2)
     + """ SELECT 'W' AS part, CAST(CAST(t AS DATE) AS VARCHAR) AS key, j, round(avg(v), 5) AS value FROM w2 GROUP BY ALL
-UNION ALL SELECT 'H', site, j, round(v, 5) FROM h2"""
+UNION ALL SELECT 'H', CAST(site AS VARCHAR), j, round(v, 5) FROM h2"""
 )
 
 
 def _two_sweeps(spark, folder):
-    x = implicit_target_matrix(hourly(spark, folder), "t", "site", "v")
+    x = implicit_target_matrix(observed_cells(spark, folder), "t", "site", "v", ["event_id"])
     return factorise(x, 2, sweeps=2, tol=0, start=_start(x, 2))
 
 
@@ -201,14 +216,14 @@ def _long_factors(f):
         F.posexplode("w").alias("j", "value"),
     )
     H = f.H.select(
-        F.lit("H").alias("part"), F.col("col").alias("key"), F.posexplode("h").alias("j", "value")
+        F.lit("H").alias("part"), F.col("col").cast("string").alias("key"), F.posexplode("h").alias("j", "value")
     )
     return rounded(W.unionByName(H), 5)
 
 
 @query(_TWO_SWEEPS)
 def nmf_two_sweeps(spark, folder):
-    """Two updates from fixed factors. SQL works on the full hours-by-types matrix, the query
+    """Two updates from fixed factors. SQL works on the full times-by-users matrix, the query
     on days with weights and without the filled cells."""
     return _long_factors(_two_sweeps(spark, folder))
 
@@ -224,20 +239,18 @@ def factor_sink(spark, folder):
 @query()
 def nmf_fit(spark, folder):
     """Factors of the completed matrix from the singular-vector start."""
-    x = implicit_target_matrix(hourly(spark, folder), "t", "site", "v")
-    f = factorise(x, 4, "nndsvd", sweeps=10, tol=1e-4)
-    return rounded(f.H.select("col", F.posexplode("h").alias("j", "value")))
+    x = implicit_target_matrix(observed_cells(spark, folder), "t", "site", "v", ["event_id"])
+    return _long_factors(factorise(x))
 
 
 @query()
 def nmf_fit_orders(spark, folder):
-    """Month by priority sums, factorised as given from seeded factors."""
+    """Day by clerk's customer sums, factorised as given from seeded factors."""
     orders = table(spark, folder, "orders")
     cells = orders.groupBy(
-        F.date_format("o_orderdate", "yyyy-MM").alias("row"), F.col("o_orderpriority").alias("col")
+        F.to_date("o_orderdate").alias("row"), F.col("o_custkey").alias("col")
     ).agg(F.sum("o_totalprice").alias("x"))
-    f = factorise(dense_matrix(cells), 3, "seeded", sweeps=10, tol=1e-4)
-    return rounded(f.W.select("row", F.posexplode("w").alias("j", "value")))
+    return _long_factors(factorise(dense_matrix(cells), 3, "seeded"))
 
 
 @query(

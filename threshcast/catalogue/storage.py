@@ -1,9 +1,11 @@
 """Queries that write a table to the shared folder and read it back."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threshcast.catalogue.base import (
     FORECASTS,
+    OBS,
     forecasts,
     observations,
     query,
@@ -11,10 +13,9 @@ from threshcast.catalogue.base import (
     table,
 )
 from threshcast.catalogue.evaluation import HIGH, WARN, _core_sql, _flags
-from threshcast.catalogue.matrices import _TARGET, hourly
+from threshcast.catalogue.matrices import _TARGET, target
 from threshcast.operators.cleaning import keep_first
 from threshcast.operators.folds import assign_folds, parse_periods
-from threshcast.operators.matrix import target_matrix
 from threshcast.operators.scoring import fold_scores
 from threshcast.session import fresh_path
 from threshcast.sources.reports import read_report, write_report
@@ -30,12 +31,15 @@ from threshcast.sources.tables import (
 )
 
 
-@query("SELECT event_id, ts, event_type, value FROM events")
+@query("SELECT * FROM events")
 def csv_scan(spark, folder):
     path = fresh_path(spark, "csv")
-    ev = table(spark, folder, "events").select("event_id", "ts", "event_type", "value")
+    ev = table(spark, folder, "events")
     write_table(ev, path, "csv")
-    return read_csv(spark, path, ["event_type"], {"event_id": "bigint", "ts": "timestamp_ntz"})
+    kinds = dict(ev.dtypes)
+    text = [c for c, k in kinds.items() if k == "string"]
+    numbers = {c: k for c, k in kinds.items() if k not in ("string", "double")}
+    return read_csv(spark, path, text, numbers)
 
 
 @query(
@@ -103,10 +107,10 @@ def fold_feature_sink(spark, folder):
     return spark.read.parquet(path)
 
 
-@query("WITH " + _TARGET + " SELECT t, site, round(v, 6) AS v FROM x")
+@query(_TARGET)
 def matrix_sink(spark, folder):
     path = fresh_path(spark, "matrix")
-    write_table(target_matrix(hourly(spark, folder), "t", "site", "v"), path)
+    write_table(target(spark, folder), path)
     return rounded(spark.read.parquet(path))
 
 
@@ -132,9 +136,27 @@ def report_sink(spark, folder):
     return rounded(read_report(spark, path, ["TP", "FN", "rmse", "sensitivity"]))
 
 
-@query("SELECT count(*) AS n, count(CASE WHEN event_id % 7 <> 0 THEN value END) AS known FROM events")
+@query("WITH " + OBS + " SELECT * FROM obs")
 def training_set_sink(spark, folder):
     path = fresh_path(spark, "training")
     write_table(observations(spark, folder), path)
-    out = read_parquet(spark, path)
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("known"))
+    return read_parquet(spark, path)
+
+
+@query("WITH " + OBS + """, s AS (SELECT *, row_number() OVER (ORDER BY nullif(site, 7) NULLS LAST, t NULLS LAST, event_id) AS place FROM obs)
+SELECT * REPLACE (nullif(site, 7) AS site) FROM s""")
+def sorted_sink(spark, folder):
+    """Rows written in order of site and time, missing sites last, and read with their places."""
+    path = fresh_path(spark, "sorted")
+    obs = observations(spark, folder)
+    obs = obs.withColumn("site", F.nullif(F.col("site"), F.lit(7).cast("long")))
+    order = [F.asc_nulls_last("site"), F.asc_nulls_last("t"), F.asc("event_id")]
+    write_table(obs.orderBy(*order), path)
+    back = read_parquet(spark, path, row_id=True)
+    # files are numbered in the order of the sort; a file's rows count on from those before it
+    files = back.groupBy(F.col(f"{ROW_ID}.file").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    out = back.join(F.broadcast(files), F.col(f"{ROW_ID}.file") == F.col("file"))
+    place = F.col("earlier") + F.col(f"{ROW_ID}.pos") + 1
+    return out.select(*[c for c in obs.columns], place.cast("long").alias("place"))

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from threshcast.functions.columns import cols as named, key_fraction
 from threshcast.operators.joins import equi_join
-from threshcast.operators.matrix import row_means, target_days
+from threshcast.operators.matrix import day_weights, row_means, target_days
 from threshcast.operators.series import SERIES_ROWS, largest_group
-from threshcast.session import BROADCAST_ROWS, cut
+from threshcast.session import BROADCAST_ROWS, broadcast_if_small, cut, discard, observed
 
 _TINY = float(np.finfo(np.float32).eps)
 
@@ -62,8 +62,7 @@ def implicit_target_matrix(
     entries = cut(
         days.select(F.col("day").alias("row"), F.col(site).alias("col"), F.col(value).alias("x"))
     )
-    times = obs.filter(F.col(time).isNotNull()).groupBy(F.to_date(time).alias("row"))
-    weights = times.agg(F.countDistinct(time).alias("weight"))
+    weights = day_weights(obs, time).withColumnRenamed("day", "row")
     means = row_means(entries, "row", "x").withColumnRenamed("row_mean", "fill")
     return ImplicitMatrix(entries, equi_join(means, weights, ["row"]))
 
@@ -146,16 +145,37 @@ def _number(x: float) -> str:
     return f"({float(x)!r}D)"
 
 
-def _gram(df: DataFrame, names: list[str], weight: str = "1D", more=()) -> tuple:
-    """k-by-k sums of products of columns, with further sums, in one aggregate row."""
+def _products(names: list[str], weight: str = "1D") -> list[str]:
     k = len(names)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    products = [f"sum({weight} * {names[i]} * {names[j]})" for i, j in pairs]
-    row = [v or 0.0 for v in df.selectExpr(*products, *more).first()]
+    return [f"sum({weight} * {names[i]} * {names[j]})" for i in range(k) for j in range(i, k)]
+
+
+def _square(row: tuple, k: int) -> np.ndarray:
     out = np.zeros((k, k))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     for (i, j), v in zip(pairs, row, strict=False):
-        out[i, j] = out[j, i] = v
-    return out, row[len(pairs) :]
+        out[i, j] = out[j, i] = v or 0.0
+    return out
+
+
+def _gram(df: DataFrame, names: list[str], weight: str = "1D", more=()) -> tuple:
+    """k-by-k sums of products of columns, with further sums, in one aggregate row."""
+    products = _products(names, weight)
+    row = [v or 0.0 for v in df.selectExpr(*products, *more).first()]
+    return _square(row, len(names)), row[len(products) :]
+
+
+def _written(df: DataFrame, names: list[str], weight: str = "1D", more=(), before=None) -> tuple:
+    """``df`` written to the shared folder, and what ``_gram`` gives, seen while writing: one job.
+
+    ``before`` is the table it replaces; its files go once the new ones exist.
+    """
+    products = _products(names, weight)
+    out, row = observed(df, "factors", *[F.expr(e) for e in [*products, *more]])
+    if before is not None:
+        discard(before)
+    row = [v or 0.0 for v in row]
+    return out, _square(row, len(names)), row[len(products) :]
 
 
 def _sums(names: list[str], weight: str = "1D") -> list[str]:
@@ -280,20 +300,20 @@ def factorise(
     else:
         raise ValueError("init must be 'nndsvd' or 'seeded'")
     w, h = [f"w{j}" for j in range(k)], [f"h{j}" for j in range(k)]
-    W, H = cut(W), cut(H)
+    W, _, _ = _written(W, w)
+    H, HH, h_sums = _written(H, h, more=_sums(h))
     norm = work.squared_norm()
     history: list[float] = []
-    HH, h_sums = _gram(H, h, more=_sums(h))
     first = _start_error(work, W, H, w, h, HH, h_sums, norm) if tol > 0 else 0.0
     for sweep in range(1, sweeps + 1):
         products = work.times_cols(H, h, h_sums, W)
-        W = cut(products.selectExpr("row", "fill", "weight", *_steps(w, "y", HH)))
-        WW, fills = _gram(W, w, "weight", _sums(w, "weight * fill"))
+        products = products.selectExpr("row", "fill", "weight", *_steps(w, "y", HH))
+        W, WW, fills = _written(products, w, "weight", _sums(w, "weight * fill"), W)
         products = work.times_rows(W, w, fills, H.select("col", *h))
         z = [f"z{j}" for j in range(k)]
-        H = cut(products.selectExpr("col", *_steps(h, "z", WW), *z))
         cross = "sum(" + " + ".join(f"{c} * z{j}" for j, c in enumerate(h)) + ")"
-        HH, sums = _gram(H, h, more=[*_sums(h), cross])
+        products = products.selectExpr("col", *_steps(h, "z", WW), *z)
+        H, HH, sums = _written(products, h, more=[*_sums(h), cross], before=H)
         h_sums, inner = sums[:k], sums[k]
         history.append(0.5 * max(norm - 2 * inner + float((WW * HH).sum()), 0.0))
         if tol > 0 and sweep % 10 == 0:
@@ -331,8 +351,10 @@ def reconstruct(
 ) -> DataFrame:
     """Dot product w(time) . h(site) for the requested rows only; NULL if either is unknown.
 
-    ``W`` has (``time``, w) and ``H`` has (``site``, h). The grid of all pairs is not built.
+    ``W`` has (``time``, w) and ``H`` has (``site``, h). The grid of all pairs is not built;
+    factor tables of counted size are broadcast, so the requested rows stay where they are.
     """
+    W, H = broadcast_if_small(W, derived=True), broadcast_if_small(H, derived=True)
     out = equi_join(equi_join(requested, W, [time], "left"), H, [site], "left")
     dot = " + ".join(f"get(w, {j}) * get(h, {j})" for j in range(rank))
     return out.select(*named(requested.columns), F.expr(dot).alias(name))

@@ -13,15 +13,16 @@ from threshcast.functions.columns import col
 from threshcast.operators.cleaning import fill_missing, fill_values
 from threshcast.operators.encoding import apply_codes, code_counts, fit_codes
 
-#: Largest number of classes a tree treats as unordered; more are used as ordered codes.
-NOMINAL_LIMIT = 64
+#: Bins a tree may cut each column into.
+MAX_BINS = 64
 
 
 class FeatureFrame:
     """Means of numeric columns, label codes of text columns, and the vector made of both.
 
     Columns to be neutralised (time, site name) are simply not listed. A missing number takes
-    the training mean, a label unseen in training the code after the last one.
+    the training mean, a label unseen in training the code after the last one. Label codes are
+    ordered numbers, however many labels there are; ``max_bins`` holds for every column.
     """
 
     def __init__(
@@ -31,28 +32,30 @@ class FeatureFrame:
         means: dict[str, float],
         codes: DataFrame | None,
         sizes: dict[str, int],
+        max_bins: int = MAX_BINS,
     ) -> None:
         self.numeric, self.labels = list(numeric), list(labels)
-        self.means, self.codes, self.sizes = means, codes, sizes
+        self.means, self.codes, self.sizes, self.max_bins = means, codes, sizes, max_bins
 
     @classmethod
-    def fit(cls, df: DataFrame, numeric: Sequence[str], labels: Sequence[str] = ()) -> FeatureFrame:
+    def fit(
+        cls,
+        df: DataFrame,
+        numeric: Sequence[str],
+        labels: Sequence[str] = (),
+        max_bins: int = MAX_BINS,
+    ) -> FeatureFrame:
         means = fill_values(df, "mean", list(numeric))
         means = {c: means.get(c, 0.0) for c in numeric}
         if not labels:
-            return cls(numeric, [], means, None, {})
+            return cls(numeric, [], means, None, {}, max_bins)
         codes = fit_codes(df, list(labels))
-        return cls(numeric, labels, means, codes, code_counts(codes))
+        return cls(numeric, labels, means, codes, code_counts(codes), max_bins)
 
     @property
     def names(self) -> list[str]:
         return [*self.numeric, *self.labels]
 
-    @property
-    def max_bins(self) -> int:
-        used = [n + 1 for n in self.sizes.values() if n < NOMINAL_LIMIT]
-        return max([32, *used])
-
     def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
         """Add the vector; all other columns stay as they are."""
         out = df.withColumns({f"__x_{c}": col(c).cast("double") for c in self.numeric})
@@ -63,16 +66,19 @@ class FeatureFrame:
             counts = {f"__x_{c}": n for c, n in self.sizes.items()}
             out = apply_codes(out, codes, [f"__x_{c}" for c in self.labels], counts=counts)
             for c in self.labels:
-                n = self.sizes.get(c, 0)
-                meta = {"type": "nominal", "num_vals": n + 1} if n < NOMINAL_LIMIT else {}
-                code = F.col(f"__x_{c}").cast("double")
-                out = out.withColumn(f"__x_{c}", code.alias(f"__x_{c}", metadata={"ml_attr": meta}))
+                out = out.withColumn(f"__x_{c}", F.col(f"__x_{c}").cast("double"))
         cols = [f"__x_{c}" for c in self.names]
         return VectorAssembler(inputCols=cols, outputCol=output).transform(out).drop(*cols)
 
     def write(self, path: str, spark) -> None:
         state = json.dumps(
-            {"numeric": self.numeric, "labels": self.labels, "means": self.means, "sizes": self.sizes}
+            {
+                "numeric": self.numeric,
+                "labels": self.labels,
+                "means": self.means,
+                "sizes": self.sizes,
+                "max_bins": self.max_bins,
+            }
         )
         write_state(spark, path, state)
         if self.codes is not None:
@@ -82,7 +88,7 @@ class FeatureFrame:
     def read(cls, spark, path: str) -> FeatureFrame:
         s = json.loads(read_state(spark, path))
         codes = spark.read.parquet(f"{path}/codes") if s["labels"] else None
-        return cls(s["numeric"], s["labels"], s["means"], codes, s["sizes"])
+        return cls(s["numeric"], s["labels"], s["means"], codes, s["sizes"], s["max_bins"])
 
 
 def write_state(spark, path: str, text: str) -> None:

@@ -1,8 +1,9 @@
 """The time-by-site matrix in long form (time, site, value), and its wide view.
 
 Filling a day overwrites every time of that day with one value per site, so all times of a
-day share one matrix row. The work is therefore done per (day, site); the full grid is built
-only by the functions whose result it is.
+day share one matrix row. The matrix is kept as its observed (day, site) cells and one fill per
+row; values are looked up for a table of requested (time, site) pairs, the grid of all pairs is
+never built.
 """
 
 from __future__ import annotations
@@ -17,29 +18,16 @@ from threshcast.operators.cleaning import keep_first
 from threshcast.operators.joins import equi_join
 from threshcast.session import broadcast_if_small, cut
 
-#: Sites one block of a grid holds.
-GRID_BLOCK = 1000
-
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct()
 
 
-def complete_grid(obs: DataFrame, time: str, site: str, value: str) -> DataFrame:
-    """All distinct times with all distinct sites, NULL where there is no observation.
-
-    The full grid is the result asked for here (factorisation does without it, see
-    ``factors``). Sites are cut into blocks of about ``GRID_BLOCK``; each time is repeated per
-    block and meets the sites of that block by an equi-join. With few sites the list is
-    broadcast and times stay where they are; with many, blocks spread over the tasks.
-    """
-    times = distinct_values(obs, time)
-    sites = cut(distinct_values(obs, site))
-    blocks = max(1, -(-sites.count() // GRID_BLOCK))
-    sites = sites.withColumn("__block", F.pmod(F.xxhash64(site), F.lit(blocks)).cast("int"))
-    times = times.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    grid = times.join(broadcast_if_small(sites), "__block").drop("__block")
-    return equi_join(grid, obs.select(time, site, value), [time, site], "left")
+def complete_pairs(
+    pairs: DataFrame, obs: DataFrame, time: str, site: str, value: str
+) -> DataFrame:
+    """The requested pairs with their observed value, NULL where there is none."""
+    return equi_join(pairs, obs.select(time, site, value), [time, site], "left")
 
 
 def day_values(
@@ -58,30 +46,60 @@ def day_values(
     )
 
 
-def daily_fill(cells: DataFrame, time: str, site: str, value: str) -> DataFrame:
-    """Each cell takes its site's first value of the day, also where it had another one."""
-    days = day_values(cells, time, site, value)
-    keyed = cells.select(time, site, F.to_date(time).alias("day"))
-    return equi_join(keyed, days, ["day", site], "left").select(time, site, value)
+def _with_day(pairs: DataFrame, time: str) -> DataFrame:
+    return pairs.withColumn("__day", F.to_date(time))
+
+
+def _looked_up(pairs: DataFrame, days: DataFrame, site: str, value: str) -> DataFrame:
+    """``pairs`` (with __day) and their day's value; no day is gathered for a small table."""
+    days = broadcast_if_small(days.withColumnRenamed("day", "__day"))
+    return equi_join(pairs, days, ["__day", site], "left")
+
+
+def daily_fill(
+    pairs: DataFrame, obs: DataFrame, time: str, site: str, value: str, order: Sequence[str] = ()
+) -> DataFrame:
+    """The requested pairs with their site's first value of the day, also where there was another."""
+    days = cut(day_values(obs, time, site, value, order))
+    return _looked_up(_with_day(pairs, time), days, site, value).drop("__day")
 
 
 def row_means(cells: DataFrame, row: str, value: str) -> DataFrame:
     return cells.groupBy(row).agg(F.avg(value).alias("row_mean"))
 
 
+def day_weights(obs: DataFrame, time: str) -> DataFrame:
+    """(day, weight): how many times a day has, which is how many equal rows it stands for."""
+    times = obs.filter(F.col(time).isNotNull()).groupBy(F.to_date(time).alias("day"))
+    return times.agg(F.countDistinct(time).alias("weight"))
+
+
 def fill_row_means(
-    cells: DataFrame, row: str, value: str, global_mean: bool = False
+    pairs: DataFrame,
+    days: DataFrame,
+    time: str,
+    site: str,
+    value: str,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
-    """Missing cells get the mean of their row; with ``global_mean`` an empty row gets the
-    mean of all cells."""
-    filled = equi_join(cells, row_means(cells, row, value), [row], "left")
+    """The requested pairs with the value of their (day, site), or else the mean of the day's row.
+
+    Means are taken over the observed cells ``days``. With ``weights`` (day, weight) a row without
+    any value gets the mean of all filled cells, each day counted as often as it has times.
+    """
+    means = row_means(days, "day", value).withColumnRenamed("day", "__day")
+    out = _looked_up(_with_day(pairs, time), days, site, value)
+    out = equi_join(out, broadcast_if_small(means, derived=True), ["__day"], "left")
     fill = F.coalesce(F.col(value), F.col("row_mean"))
-    if global_mean:
-        fill = F.coalesce(fill, F.lit(cells.agg(F.avg(value)).first()[0]))
-    return filled.select(*[c for c in cells.columns if c != value], fill.alias(value))
+    if weights is not None:
+        whole = equi_join(days, weights, ["day"]).filter(F.col(value).isNotNull())
+        mean = whole.agg(F.sum(F.col(value) * F.col("weight")) / F.sum("weight")).first()[0]
+        fill = F.coalesce(fill, F.lit(mean))
+    return out.select(*[c for c in pairs.columns if c != value], fill.alias(value))
 
 
-def target_matrix(
+def target_values(
+    pairs: DataFrame,
     obs: DataFrame,
     time: str,
     site: str,
@@ -89,15 +107,10 @@ def target_matrix(
     order: Sequence[str] = (),
     fill_target: bool = True,
 ) -> DataFrame:
-    """Completed matrix: target filled with its mean, one row per key, day fill, row means.
-
-    Means and holes are handled on (day, site); times join by day at the end.
-    """
+    """Values of the completed matrix at the requested pairs: target filled with its mean, one row
+    per key, day fill, row means."""
     days = cut(target_days(obs, time, site, value, order, fill_target))
-    grid = complete_grid(days, "day", site, value)
-    grid = fill_row_means(grid, "day", value)
-    times = distinct_values(obs, time).withColumn("day", F.to_date(time))
-    return times.join(grid, "day").select(time, site, value)
+    return fill_row_means(pairs, days, time, site, value)
 
 
 def target_days(

@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: A broadcast side is counted first and sent only when it has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A broadcast side is counted first and sent only when it has at most this many rows and, where
+#: it holds texts or arrays, at most this many bytes of them.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, set by us only in local mode."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured is None and current is not None:
         return current
     if configured is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="threshcast-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if current is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
@@ -54,15 +52,42 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def observed(df: DataFrame, label: str, *sums: Column) -> tuple[DataFrame, tuple]:
+    """``df`` written once and read again, and the aggregates ``sums`` of it, in one job."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    seen = Observation()
+    named = [c.alias(f"s{i}") for i, c in enumerate(sums)]
+    (df.observe(seen, *named) if named else df).write.parquet(path)
+    found = tuple(seen.get[f"s{i}"] for i in range(len(named))) if named else ()
+    return spark.read.schema(df.schema).parquet(path), found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table ``observed`` wrote, once nothing reads it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    """True when ``df`` has at most ``rows`` rows, and its texts and arrays at most
+    ``BROADCAST_BYTES``; counted in every task, so one row a task is exchanged."""
+    wide = [
+        F.length(F.to_json(F.struct(F.col(f"`{f.name}`"))))
+        for f in df.schema
+        if f.dataType.typeName() in ("array", "map", "struct", "binary")
+    ]
+    wide += [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema if f.dataType.typeName() == "string"]
+    size = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0)).cast("long")
+    n, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return n <= rows and (total or 0) <= BROADCAST_BYTES
 
 
 def broadcast_if_small(
     df: DataFrame, rows: int = BROADCAST_ROWS, derived: bool = False
 ) -> DataFrame:
-    """Broadcast hint behind a row count; a larger side is left to a shuffled join.
+    """Broadcast hint behind a count of rows and bytes; a larger side is left to a shuffled join.
 
     A side ``derived`` from large data is checkpointed first, so that counting it and joining
     it do not compute it twice.

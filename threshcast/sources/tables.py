@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,15 +45,19 @@ def read_csv(
     text: Sequence[str] = OBSERVATION_TEXT_COLUMNS,
     types: dict[str, str] | None = None,
     row_id: bool = False,
+    lenient: bool = False,
 ) -> DataFrame:
     """CSV with header. Columns named in ``text`` are text, those in ``types`` have that type,
-    all others are numbers; only the header line is read to find the column order."""
+    all others are numbers; only the header line is read to find the column order. A cell that is
+    not of its type is an error; with ``lenient`` it is missing."""
     header = spark.read.option("header", True).csv(path).columns
     kinds = {c: "string" for c in text} | (types or {})
     schema = T.StructType(
         [T.StructField(c, T._parse_datatype_string(kinds.get(c, "double"))) for c in header]
     )
-    df = spark.read.schema(schema).options(header=True, enforceSchema=False).csv(path)
+    df = spark.read.schema(schema).options(
+        header=True, enforceSchema=False, mode="PERMISSIVE" if lenient else "FAILFAST"
+    ).csv(path)
     return _nan_columns_to_null(_with_row_id(df, "csv") if row_id else df)
 
 
@@ -62,18 +66,25 @@ def read_csv_with_markers(
     path: str,
     numbers: Sequence[str],
     markers: Sequence[str] = NULL_MARKERS,
+    lenient: bool = False,
 ) -> DataFrame:
-    """CSV whose missing values are written as one of several markers."""
+    """CSV whose missing values are written as one of several markers.
+
+    Any other text in a column of ``numbers`` is an error; with ``lenient`` it is missing.
+    """
     df = spark.read.options(header=True, inferSchema=False).csv(path)
+
+    def number(c: str) -> Column:
+        value = markers_to_null(c, markers)
+        checked = F.when(
+            value.isNotNull() & value.try_cast("double").isNull(),
+            F.raise_error(F.concat(F.lit(f"not a number in column {c}: "), value)),
+        )
+        parsed = value.try_cast("double")
+        return parsed if lenient else F.coalesce(checked.cast("double"), parsed)
+
     return df.select(
-        *[
-            (
-                markers_to_null(c, markers).try_cast("double")
-                if c in numbers
-                else markers_to_null(c, markers)
-            ).alias(c)
-            for c in df.columns
-        ]
+        *[(number(c) if c in numbers else markers_to_null(c, markers)).alias(c) for c in df.columns]
     )
 
 
