@@ -73,7 +73,8 @@ def test_plan_is_best_fit(seed):
 def test_words_one_by_one_are_the_text():
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
     texts = ["", " ", "a  b\n\nc", "It's <|endoftext|> x<|startoftext|>y", "é é Ⅷ １２   x\tz",
-             "don't 'll", "́ a ́b", "日本語 テスト", "x" * 100 + " " + "y" * 100, "a\r\nb\x0bc\x85d"]
+             "don't 'll", "́ a ́b", "日本語 テスト", "x" * 100 + " " + "y" * 100, "a\r\nb\x0bc\x85d",
+             "ÀÉ ß ª²¼x½'S 'T it'sun ('s ...!?\x1f\x1c\xa0\xad×÷ 12'll", "".join(map(chr, range(256))) * 2]
     got = packing.WordEncoder(packing.tokenizer_path()).encode(texts)
     assert [list(g) for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 

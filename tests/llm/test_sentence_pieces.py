@@ -76,7 +76,7 @@ def test_memory_is_bounded(monkeypatch):
     for k in range(4):
         text = " ".join(f"w{k}{i}" for i in range(9))
         assert list(work.encode([text])[0][0]) == sp.encode(text)
-    assert len(work.known) <= 5
+    assert len(work.remembered.place) <= 5
 
 
 def test_odd_rows(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -12,47 +14,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from threshcast.llm.base import stored
-
-#: Words whose ids a task remembers at most; beyond it the memory is emptied and filled anew.
-REMEMBERED = 1 << 18
-_LONGEST = 40
+from threshcast.llm.remember import Remembered
+
+#: Strings whose ids a task remembers at most; later new ones are encoded each time they come.
+REMEMBERED = 1_000_000
+_LETTERS, _NUMBERS, _BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+#: How the tokenizer itself cuts texts of the first 256 code points, after lower-casing.
+_CUTS = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+"
+)
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Token ids of texts, word by word, each different word encoded once.
+    """Token ids of texts by ``word_bpe``, each different word encoded once.
 
-    Sound for tokenizers whose pre-tokeniser never joins what a blank or line break parts and
-    drops both (``word_bpe``): the ids of a text are the ids of its words one after another.
+    Its pre-tokeniser never joins what a blank parts and drops blanks, so the ids of a text are
+    those of its words one after another. Texts of the first 256 code points, where letters and
+    digits are few and fixed, are cut as the tokenizer cuts them, which gives fewer different
+    strings; others, and texts that may hold its special tokens, are cut at spaces and line ends.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks keep the cores busy
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        tokenizer = Tokenizer.from_file(path)
+        encode = lambda part: [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        self.remembered = Remembered(encode, "<u4", REMEMBERED)
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return _CUTS.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = {w for words in split for w in words}
-            order = list(new)
-            for low in range(0, len(order), 20_000):
-                part = order[low : low + 20_000]
-                found = self.tokenizer.encode_batch(part, add_special_tokens=False)
-                self.known.update(zip(part, (tuple(e.ids) for e in found)))
-        known, out = self.known, []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids.extend(known[w])
-            out.append(np.array(ids, "<u4"))
-        if len(self.known) > REMEMBERED or any(len(w) > _LONGEST for w in new):
-            self.known = {w: x for w, x in self.known.items() if len(w) <= _LONGEST}
-        return out
+        return self.remembered.ids([self.cut(t) for t in texts])
 
 
 def encoder(path: str) -> WordEncoder:

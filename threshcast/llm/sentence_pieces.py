@@ -12,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threshcast.llm.remember import Remembered
+
 #: Strings whose ids a task remembers at most; later new ones are encoded each time they come.
-REMEMBERED = 400_000
-_LONGEST = 40
+REMEMBERED = 1_000_000
 _MARK = "▁"
 # Fixed values of the model file's format: kinds of pieces and of models.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -55,7 +56,7 @@ class PieceCoder:
         self.backend = Tokenizer(self._model(proto, names, kinds))
         self.cuttable = not self.user and not any(re.search(f"[^{_MARK}]{_MARK}", n) for n in names)
         self.bytes = [self._bytes_of(n, k) for n, k in zip(names, kinds)]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.remembered = Remembered(self._fresh, "i4", REMEMBERED if self.cuttable else 0)
         self.wrong: set[str] = set()
         # names of pieces that text never gives; a unigram backend would find them in a text
         hidden = [n for n, k in zip(names, kinds) if k not in (_NORMAL, _USER)]
@@ -103,16 +104,12 @@ class PieceCoder:
         """Strings that can be encoded on their own."""
         return re.findall(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+", text) if self.cuttable else [text] * bool(text)
 
-    def _fresh(self, strings: list[str]) -> dict[str, tuple[int, ...]]:
-        found = {}
-        for low in range(0, len(strings), 20_000):
-            part = strings[low : low + 20_000]
-            ids = [tuple(e.ids) for e in self.backend.encode_batch(part, add_special_tokens=False)]
-            found.update(zip(part, ids))
-            self._verify(part, ids)
-        return found
+    def _fresh(self, strings: list[str]) -> list[list[int]]:
+        ids = [e.ids for e in self.backend.encode_batch(strings, add_special_tokens=False)]
+        self._verify(strings, ids)
+        return ids
 
-    def _verify(self, strings: list[str], ids: list[tuple[int, ...]]) -> None:
+    def _verify(self, strings: list[str], ids: list[list[int]]) -> None:
         """SentencePiece's ids of the same strings; its own prefix stands for the first marker."""
         prefixed = self.spec.add_dummy_prefix and not self.spec.remove_extra_whitespaces
         for s, got in zip(strings, ids):
@@ -120,7 +117,7 @@ class PieceCoder:
                 plain = s[1:].replace(_MARK, " ")
                 if self.spec.remove_extra_whitespaces and plain != plain.strip(" "):
                     continue
-                if plain and tuple(self.reference.encode(plain)) != got:
+                if plain and self.reference.encode(plain) != got:
                     self.wrong.add(s)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
@@ -130,24 +127,14 @@ class PieceCoder:
         byte piece, are left to SentencePiece itself.
         """
         odd = [i for i, t in enumerate(texts) if self.left_alone and self.left_alone.search(t)]
-        split, known = [self.cut(self.normalise(t)) for t in texts], self.known
+        split = [self.cut(self.normalise(t)) for t in texts]
         for i in odd:
             split[i] = []
-        new = list({w for words in split for w in words if w not in known})
-        fresh = self._fresh(new)
-        room = max(0, REMEMBERED - len(known))
+        out = self.remembered.ids(split)
         if self.cuttable:
-            known.update([(w, x) for w, x in fresh.items() if len(w) <= _LONGEST][:room])
-        out, same = [], []
-        for text, words in zip(texts, split):
-            ids: list[int] = []
-            for w in words:
-                ids.extend(fresh[w] if w in fresh else known[w])
-            out.append(np.array(ids, np.int32))
-            if self.cuttable:
-                same.append(not self.wrong or self.wrong.isdisjoint(words))
-            else:
-                same.append(list(out[-1]) == self.reference.encode(text))
+            same = [not self.wrong or self.wrong.isdisjoint(words) for words in split]
+        else:
+            same = [x.tolist() == self.reference.encode(t) for t, x in zip(texts, out)]
         for i, ids in zip(odd, self.reference.encode([texts[i] for i in odd], num_threads=self.threads)):
             out[i], same[i] = np.array(ids, np.int32), True
         return out, same
@@ -156,7 +143,9 @@ class PieceCoder:
         """The text of ids: bytes joined, markers as blanks, the first blank taken off."""
         table = self.bytes
         raw = b"".join([table[i] for i in ids])
-        if self.spec.add_dummy_prefix and raw[:1] == b" ":
+        if self.spec.remove_extra_whitespaces:
+            raw = raw.lstrip(b" ")
+        elif self.spec.add_dummy_prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
