@@ -147,20 +147,21 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by id, for both joins; half a text and one signature travel to the document before.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    base = with_signature(base, "text", "sig")
-    # both joins filter and select alike, so that Spark exchanges the texts once
+    # both joins filter and select alike, without needless aliases, and signatures follow them, so
+    # that Spark finds the two exchanges of the texts equal and makes one
+    plain = id_col == "doc_id" and docs.schema[id_col].dataType.typeName() == "long"
+    ident = F.col("doc_id") if plain else F.col(f"`{id_col}`").cast("long").alias("doc_id")
+    base = docs.select(ident, text.alias("text"))
     known, unknown = base.where("doc_id is not null"), base.where("doc_id is null")
     wanted = next_ids(base.select("doc_id")).withColumnsRenamed({"doc_id": "asker", "next_id": "asked"})
     sizes = docs.select(F.col(f"`{id_col}`").cast("long").alias("asker"), F.floor(F.length(text) / 2).alias("want"))
     sizes = sizes.groupBy("asker").agg(F.max("want").alias("want"))
     wanted = stored(wanted.join(sizes, "asker"), "asked")
-    given = known.join(wanted, known.doc_id == wanted.asked).select(
-        "asker", F.expr("substring(text, 1, cast(want as int))").alias("head"), F.col("sig").alias("next_sig")
-    )
+    asked = with_signature(known.join(wanted, known.doc_id == wanted.asked), "text", "next_sig")
+    given = asked.select("asker", F.expr("substring(text, 1, cast(want as int))").alias("head"), "next_sig")
     given = given.groupBy("asker").agg(F.min(F.struct("head", "next_sig")).alias("given"))
     both = known.join(given, known.doc_id == given.asker, "left").select(*known.columns, "given")
-    both = both.unionByName(unknown, allowMissingColumns=True).select(
+    both = with_signature(both.unionByName(unknown, allowMissingColumns=True), "text", "sig").select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), "sig",
         F.expr("concat(substring(text, 1, length(text) - cast(floor(length(text) / 2) as int)), "
                "coalesce(substring(given.head, 1, cast(floor(length(text) / 2) as int)), ''))").alias("edited"),
