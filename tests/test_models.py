@@ -154,7 +154,7 @@ def test_matrix_steps(spark):
 def test_implicit_matrix_equals_full_one(spark):
     obs = observed(spark)
     full = {(r["t"], r["site"]): r["v"] for r in target_values(all_pairs(obs), obs, "t", "site", "v").collect()}
-    x = implicit_target_values(all_pairs(obs), obs, "t", "site", "v")
+    x = implicit_target_matrix(obs, "t", "site", "v")
     rows = {r["row"]: (r["fill"], r["weight"]) for r in x.rows.collect()}
     entries = {(r["row"], r["col"]): r["x"] for r in x.entries.collect()}
     assert sum(w for _, w in rows.values()) == 4
@@ -318,6 +318,36 @@ def test_evaluation_and_batch_scoring(table, spark, tmp_path):
         "absent": lambda: BaselineModel.read(spark, f"{path}/absent"),
         "poisson": lambda: PoissonBoostModel.read(spark, f"{path}/poisson"),
     }
-    out, scored = predict_models(loaders, table, LAYOUT)
+    out, scored, absent = predict_models(loaders, table, LAYOUT)
+    assert absent == ["absent"]
     assert set(out.columns) == {*table.columns, "tree_predictions", "poisson_predictions"}
     assert set(scored) == {"tree", "poisson"} and out.count() == table.count()
+
+
+def test_one_rule_for_any_number_of_labels(spark):
+    from threshcast.operators.learning import FeatureFrame
+
+    rules = set()
+    for n in (63, 64, 1000):
+        df = spark.range(n).selectExpr("id * 1.0 AS x", "concat('l', id) AS label")
+        frame = FeatureFrame.fit(df, ["x"], ["label"])
+        out = frame.transform(df)
+        kinds = out.schema["features"].metadata["ml_attr"]["attrs"]
+        rules.add((frame.max_bins, tuple(sorted(kinds))))
+        assert {float(r.features[1]) for r in out.collect()} == set(map(float, range(n)))
+    assert rules == {(64, ("numeric",))}
+
+
+def test_bad_csv_cells_are_errors(spark, tmp_path):
+    from threshcast.sources.tables import read_csv, read_csv_with_markers
+
+    (tmp_path / "a.csv").write_text("name,x\na,1.5\nb,oops\n")
+    path = str(tmp_path / "a.csv")
+    with pytest.raises(Exception, match="oops|MALFORMED"):
+        read_csv(spark, path, ["name"]).collect()
+    assert [r.x for r in read_csv(spark, path, ["name"], lenient=True).collect()] == [1.5, None]
+    with pytest.raises(Exception, match="not a number in column x"):
+        read_csv_with_markers(spark, path, ["x"]).collect()
+    found = read_csv_with_markers(spark, path, ["x"], markers=["oops"]).collect()
+    assert [r.x for r in found] == [1.5, None]
+    assert read_csv_with_markers(spark, path, ["x"], lenient=True).collect()[1].x is None

@@ -22,6 +22,7 @@ from threshcast.functions.columns import (
 )
 from threshcast.functions.fixed_values import HOLIDAYS, OBSERVATION_COLUMNS
 from threshcast.operators.cleaning import (
+    as_categories,
     fill_missing,
     fill_values,
     keep_first,
@@ -238,6 +239,15 @@ def label_encoding(spark, folder):
     return label_encode(part, ["p_type", "p_size"])
 
 
+@query(
+    """SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, CAST(value > 50 AS VARCHAR) AS high FROM events"""
+)
+def category_casts(spark, folder):
+    """Category columns as text, whatever their type; those that are absent are passed over."""
+    ev = table(spark, folder, "events").select("event_id", "user_id", "event_type", (F.col("value") > 50).alias("high"))
+    return as_categories(ev, ["user_id", "event_type", "high", "no_such_column"])
+
+
 _UNSEEN_SQL = """WITH seen AS (SELECT DISTINCT p_brand FROM part WHERE p_size < 2),
 c AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS code FROM seen)
 SELECT p_partkey, coalesce(c.code, (SELECT count(*) FROM c)) AS p_brand

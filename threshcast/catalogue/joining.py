@@ -25,16 +25,29 @@ _PERIODS = ["1998-01-01_1999-01-01", "1999-01-01_2000-01-01", "2000-02-29_2001-0
 
 
 @query(
-    """SELECT o.o_orderkey, o.o_custkey, CASE WHEN c.c_acctbal > 0 THEN c.c_acctbal END AS predictions
-FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey"""
+    """SELECT o.o_orderkey, o.o_custkey, c.c_acctbal AS predictions
+FROM orders o LEFT JOIN customer c ON o.o_custkey = CASE WHEN c.c_acctbal > 0 THEN c.c_custkey ELSE -c.c_custkey END"""
 )
 def align_right_join(spark, folder):
     """Requested rows keep their place; those without a forecast get NULL."""
-    grid = table(spark, folder, "customer").filter("c_acctbal > 0")
-    grid = grid.select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("predictions"))
+    key = F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey"))
+    grid = table(spark, folder, "customer")
+    grid = grid.select(key.alias("o_custkey"), F.col("c_acctbal").alias("predictions"))
     return align(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), grid, ["o_custkey"])
 
 
+@query(
+    """SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS other, round(b.l_quantity, 4) AS q
+FROM lineitem a LEFT JOIN lineitem b ON a.l_orderkey = b.l_orderkey"""
+)
+def self_align_rows(spark, folder):
+    """Joining a table to its own, repeated key: every row with every row of its key."""
+    lines = table(spark, folder, "lineitem")
+    right = lines.select("l_orderkey", F.col("l_linenumber").alias("other"), F.col("l_quantity").alias("q"))
+    out = align(lines.select("l_orderkey", "l_linenumber"), right, ["l_orderkey"])
+    return rounded(out, 4)
+
+
 @query(
     """SELECT a.l_orderkey, count(*) AS n, round(sum(b.l_quantity), 4) AS q
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber
@@ -60,9 +73,9 @@ _MODELS = (
     + """, k AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN site END AS site, season, t, y, p FROM fc)
 SELECT a.event_id, a.site, a.t, round(a.y, 6) AS y, round(a.p, 6) AS mean5, round(b.y * 0.5, 6) AS half,
   round(c.p * 0.1, 6) AS "q_0.05"
-FROM k a JOIN (SELECT * FROM k WHERE season <> 'error') b
+FROM k a JOIN (SELECT * REPLACE (CASE WHEN season <> 'error' THEN event_id ELSE -1 - event_id END AS event_id) FROM k) b
   ON a.event_id = b.event_id AND a.site IS NOT DISTINCT FROM b.site AND a.t = b.t AND a.y = b.y
-JOIN (SELECT * FROM k WHERE y > 10) c
+JOIN (SELECT * REPLACE (CASE WHEN y > 10 THEN event_id ELSE -1 - event_id END AS event_id) FROM k) c
   ON a.event_id = c.event_id AND a.site IS NOT DISTINCT FROM c.site AND a.t = c.t AND a.y = c.y"""
 )
 
@@ -73,12 +86,18 @@ def model_inner_join(spark, folder):
         "site", F.when(F.col("event_id") % 9 != 0, F.col("site"))
     )
     base = fc.select("event_id", "site", "t", "y")
+
+    def moved(stays):
+        """All rows; those that are to have no partner get another key."""
+        key = F.when(F.expr(stays), F.col("event_id")).otherwise(-1 - F.col("event_id"))
+        return fc.withColumn("event_id", key)
+
     tables = {
         "mean5": fc.select(*base.columns, F.col("p").alias("predictions")),
-        "half": fc.filter("season <> 'error'").select(
+        "half": moved("season <> 'error'").select(
             *base.columns, (F.col("y") * 0.5).alias("predictions")
         ),
-        "quantiles": fc.filter("y > 10").select(
+        "quantiles": moved("y > 10").select(
             *base.columns, (F.col("p") * 0.1).alias("q_0.05"), F.col("p").alias("predictions")
         ),
     }
@@ -96,10 +115,10 @@ def side_by_side_parts(spark, folder):
 
 
 @query(
-    """WITH a AS (SELECT s_suppkey, s_name, s_acctbal, CAST(s_nationkey AS DOUBLE) AS n FROM supplier
-  WHERE s_acctbal > 500),
-b AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal,
-  CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_nationkey AS DOUBLE) END AS n FROM supplier WHERE s_nationkey <> 7),
+    """WITH a AS (SELECT CASE WHEN s_acctbal > 500 THEN s_suppkey ELSE -s_suppkey END AS s_suppkey, s_name, s_acctbal,
+  CAST(s_nationkey AS DOUBLE) AS n FROM supplier),
+b AS (SELECT CASE WHEN s_nationkey <> 7 THEN s_suppkey ELSE -100000000 - s_suppkey END AS s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal,
+  CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_nationkey AS DOUBLE) END AS n FROM supplier),
 j AS (SELECT coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, a.n AS an, b.n AS bn, a.s_acctbal AS aa,
   b.s_acctbal AS ba, a.s_name AS an2, b.s_name AS bn2 FROM a FULL JOIN b ON a.s_suppkey = b.s_suppkey),
 d AS (SELECT s_suppkey, 's_nationkey' AS "column", an AS l, bn AS r FROM j WHERE an IS DISTINCT FROM bn
@@ -111,13 +130,15 @@ UNION ALL SELECT s_suppkey, 's_name', NULL, NULL, an2, bn2 FROM j WHERE an2 IS D
 def table_difference(spark, folder):
     s = table(spark, folder, "supplier")
     k = F.col("s_suppkey")
-    changed = s.filter("s_nationkey <> 7").withColumns(
+    changed = s.withColumns(
         {
+            "s_suppkey": F.when(F.col("s_nationkey") != 7, k).otherwise(-100000000 - k),
             "s_acctbal": F.when(k % 4 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")),
             "s_nationkey": F.when(k % 5 != 0, F.col("s_nationkey")),
         }
     )
-    out = table_diff(s.filter("s_acctbal > 500"), changed, ["s_suppkey"])
+    own = s.withColumn("s_suppkey", F.when(F.col("s_acctbal") > 500, k).otherwise(-k))
+    out = table_diff(own, changed, ["s_suppkey"])
     is_text = F.col("column") == "s_name"
     out = out.select(
         "s_suppkey",

@@ -2,7 +2,7 @@
 
 Trees grown on many features have no SQL twin; the tests check their invariants. On one
 two-valued feature a tree is known beforehand, so boosting, forests and the evaluation flow are
-checked by SQL there. Settings are kept small; the defaults of the operators are larger.
+checked by SQL there. All run with the operators' own settings and stop when nothing is gained.
 """
 
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from threshcast.plans.forecasting import (
     predict_models,
     train_models,
 )
-from threshcast.session import fresh_path
+from threshcast.session import fresh_path, observed
 from threshcast.sources.tables import write_table
 
 LAYOUT = Layout(site="site", time="t", target="y", season="season")
@@ -42,9 +42,7 @@ def learning_table(spark, folder):
     """Events with calendar and past features."""
     obs = events_as_observations(spark, folder)
     out = recent_history(obs, "site", "season", "t", "y", _HIGH, 5, "recent_mean", "past_rate")
-    calendar = calendar_columns("t")
-    calendar = {k: calendar[k] for k in ("DAY_OF_WEEK", "WEEKEND", "TIME_OF_DAY")}
-    out = out.withColumns(calendar).drop("event_id")
+    out = out.withColumns(calendar_columns("t")).drop("event_id")
     # written once: fitting reads it many times, and a lost executor does not cost the windows
     path = fresh_path(spark, "learning")
     write_table(out, path)
@@ -62,21 +60,21 @@ def _split(df):
 
 
 def _forest(**options):
-    return QuantileForest(trees=8, max_depth=5, min_leaf=20, **options)
+    return QuantileForest(**options)
 
 
 @query()
 def poisson_boosting(spark, folder):
     df = learning_table(spark, folder)
     train, test = _split(df)
-    model = PoissonBoost(rounds=6, rate=0.3, max_depth=4).fit(train, _frame(train), "y", ["site", "t"])
+    model = PoissonBoost().fit(train, _frame(train), "y", ["site", "t"])
     return rounded(model.predict(test).select("site", "t", "y", "predictions"))
 
 
 @query()
 def feature_importance(spark, folder):
     df = learning_table(spark, folder)
-    model = PoissonBoost(rounds=3, rate=0.3, max_depth=4).fit(df, _frame(df), "y", ["site", "t"])
+    model = PoissonBoost().fit(df, _frame(df), "y", ["site", "t"])
     return rounded(
         spark.createDataFrame(list(model.importance().items()), "feature string, importance double")
     )
@@ -93,7 +91,7 @@ def quantile_forest(spark, folder):
 @query()
 def oof_quantiles(spark, folder):
     df = learning_table(spark, folder)
-    return rounded(out_of_fold(df, _forest(levels=[0.05, 0.5, 0.95]), _frame(df), "y", ["site", "t"]))
+    return rounded(out_of_fold(df, _forest(), _frame(df), "y", ["site", "t"]))
 
 
 @query()
@@ -101,10 +99,10 @@ def meta_learner(spark, folder):
     """Point forecast learnt from out-of-fold quantiles, applied to those of later rows."""
     df = learning_table(spark, folder)
     train, test = _split(df)
-    frame, forest = _frame(train), _forest(levels=[0.05, 0.5, 0.95])
+    frame, forest = _frame(train), _forest()
     oof = out_of_fold(train, forest, frame, "y", ["site", "t"])
     columns = [level_column(q) for q in forest.levels]
-    meta = MetaLearner(columns, rounds=5, max_depth=4).fit(oof, "y")
+    meta = MetaLearner(columns).fit(oof, "y")
     scored = meta.predict(forest.fit(train, frame, "y").predict(test))
     return rounded(scored.select("site", "t", "y", "predictions"))
 
@@ -113,11 +111,10 @@ def meta_learner(spark, folder):
 def meta_learner_grid(spark, folder):
     """Grid search of the meta-learner by mean absolute error."""
     df = learning_table(spark, folder)
-    forest = _forest(levels=[0.05, 0.5, 0.95])
-    oof = out_of_fold(df, forest, _frame(df), "y", ["site", "t"]).persist()
-    meta = MetaLearner([level_column(q) for q in forest.levels], rounds=3)
-    best = meta.tune(oof, "y", {"stepSize": [0.05, 0.2], "maxDepth": [2, 3]}, folds=2)
-    oof.unpersist()
+    forest = _forest()
+    oof, _ = observed(out_of_fold(df, forest, _frame(df), "y", ["site", "t"]), "oof")
+    meta = MetaLearner([level_column(q) for q in forest.levels])
+    best = meta.tune(oof, "y", {"stepSize": [0.05, 0.2], "maxDepth": [2, 3]})
     rows = [(k, float(v)) for k, v in best.items()]
     return rounded(spark.createDataFrame(rows, "name string, value double"))
 
@@ -138,11 +135,6 @@ def _matrix_settings(**options):
         ["DAY_OF_WEEK", "WEEKEND", "TIME_OF_DAY"],
         ["lat", "size"],
         ["zone"],
-        init="nndsvd",
-        sweeps=5,
-        trees=8,
-        max_depth=5,
-        factor_options={"svd_passes": 3},
         **options,
     )
 
@@ -236,7 +228,7 @@ def batch_scoring(spark, folder):
     path = fresh_path(spark, "models")
     makers = {
         "tree": lambda _: BaselineForecaster(Baseline("tree"), LAYOUT),
-        "poisson": lambda _: PoissonForecaster(LAYOUT, PoissonBoost(rounds=3, rate=0.3, max_depth=3)),
+        "poisson": lambda _: PoissonForecaster(LAYOUT, PoissonBoost()),
     }
     train_models(makers, train, path)
     loaders = {
@@ -244,8 +236,9 @@ def batch_scoring(spark, folder):
         "poisson": lambda: PoissonBoostModel.read(spark, f"{path}/poisson"),
         "absent": lambda: BaselineModel.read(spark, f"{path}/absent"),
     }
-    out, _ = predict_models(loaders, test, LAYOUT, _HIGH, _WARN)
-    return rounded(out.select("site", "t", "y", "tree_predictions", "poisson_predictions"))
+    out, _, absent = predict_models(loaders, test, LAYOUT, _HIGH, _WARN)
+    out = out.select("site", "t", "y", "tree_predictions", "poisson_predictions")
+    return rounded(out.withColumn("left_out", F.lit(",".join(absent))))
 
 
 @query()
@@ -402,7 +395,7 @@ def nested_tscv_season_mean(spark, folder):
     "WITH "
     + _WEEK
     + """, g AS (SELECT season, avg(y) AS p FROM e WHERE t < TIMESTAMP '2024-01-22' GROUP BY season)
-SELECT site, t, y, season, round(p, 6) AS mean_predictions, round(p * 2.2, 6) AS high_predictions
+SELECT site, t, y, season, round(p, 6) AS mean_predictions, round(p * 2.2, 6) AS high_predictions, 'broken' AS left_out
 FROM e LEFT JOIN g USING (season) WHERE t >= TIMESTAMP '2024-01-22'"""
 )
 def batch_season_mean(spark, folder):
@@ -410,5 +403,5 @@ def batch_season_mean(spark, folder):
     train, test = _split(events_as_observations(spark, folder).drop("event_id"))
     models = {"mean": SeasonMean().fit(train), "high": _Scaled(2.2).fit(train)}
     models["broken"] = lambda: {}["no such model"]
-    out, _ = predict_models(models, test, LAYOUT, _HIGH, _WARN)
-    return rounded(out)
+    out, _, absent = predict_models(models, test, LAYOUT, _HIGH, _WARN)
+    return rounded(out.withColumn("left_out", F.lit(",".join(absent))))

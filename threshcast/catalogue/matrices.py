@@ -255,7 +255,8 @@ def nmf_fit_orders(spark, folder):
 
 @query(
     """WITH w AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS a, count(*) AS b FROM events GROUP BY ALL),
-h AS (SELECT event_type, avg(value) / 100 AS a, max(value) / 100 AS b FROM events WHERE event_type <> 'error' GROUP BY ALL)
+h AS (SELECT CASE WHEN event_type = 'error' THEN 'unknown' ELSE event_type END AS event_type,
+  avg(value) / 100 AS a, max(value) / 100 AS b FROM events GROUP BY ALL)
 SELECT event_id, CASE WHEN h.a IS NOT NULL THEN round(w.a * h.a + w.b * h.b, 4) END AS predictions
 FROM events e LEFT JOIN w ON w.day = CAST(e.ts AS DATE) LEFT JOIN h ON h.event_type = e.event_type"""
 )
@@ -263,7 +264,8 @@ def reconstruct_pairs(spark, folder):
     ev = table(spark, folder, "events").withColumn("day", F.to_date("ts"))
     both = F.array(F.avg("value"), F.count(F.lit(1)).cast("double"))
     W = ev.groupBy("day").agg(both.alias("w"))
-    known = ev.filter("event_type <> 'error'").groupBy("event_type")
+    kind = F.when(F.col("event_type") == "error", "unknown").otherwise(F.col("event_type"))
+    known = ev.withColumn("event_type", kind).groupBy("event_type")
     H = known.agg(F.array(F.avg("value") / 100, F.max("value") / 100).alias("h"))
     wanted = ev.select("event_id", "day", "event_type")
     out = reconstruct(wanted, W, H, "day", "event_type", 2)

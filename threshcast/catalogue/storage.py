@@ -87,7 +87,8 @@ def forecast_sink(spark, folder):
     path = fresh_path(spark, "forecasts")
     obs = table(spark, folder, "events").select("event_id", F.col("user_id").alias("site"), "value")
     fc = forecasts(spark, folder).select("event_id", F.col("p").alias("predictions"))
-    half = obs.filter("value > 20").select("event_id", (F.col("value") * 0.5).alias("predictions"))
+    key = F.when(F.col("value") > 20, F.col("event_id")).otherwise(-1 - F.col("event_id"))
+    half = obs.select(key.alias("event_id"), (F.col("value") * 0.5).alias("predictions"))
     write_forecasts(obs.drop("value"), {"mean5": fc, "half": half}, ["event_id"], path)
     return rounded(spark.read.parquet(path))
 

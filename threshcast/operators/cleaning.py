@@ -60,14 +60,16 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     many copies costs one row per task. Missing keys equal each other.
     """
     first = [col(o) for o in order]
-    rest = [c for c in df.columns if c not in keys]
+    # columns named in the order stand in the struct once, as part of the order
+    places = {o: f"__o{i}" for i, o in enumerate(order) if isinstance(o, str) and o in df.columns}
+    rest = [c for c in df.columns if c not in keys and c not in places]
     ranked = F.struct(
         *[c.alias(f"__o{i}") for i, c in enumerate(first)], *[col(c) for c in rest]
     )
     best = df.groupBy(*[col(k) for k in keys]).agg(F.min(ranked).alias("__first"))
     return best.select(
         *[
-            col(c) if c in keys else F.col("__first").getField(c).alias(c)
+            col(c) if c in keys else F.col("__first").getField(places.get(c, c)).alias(c)
             for c in df.columns
         ]
     )

@@ -61,8 +61,16 @@ def apply_codes(
         side = codes.filter(F.col("column") == c).select(
             F.col("label").alias(f"__l{i}"), F.col("code").alias(f"__c{i}")
         )
-        side = F.broadcast(side) if n <= BROADCAST_ROWS else side
+        small = n <= BROADCAST_ROWS and fits(side)
+        missing = out.filter(F.col(c).isNull())
+        if not small:
+            # missing labels are all one label; they take its code without a join
+            found = side.filter(F.col(f"__l{i}") == label_text(F.lit(None))).first()
+            missing = missing.withColumn(f"__c{i}", F.lit(None if found is None else found[1]).cast("long"))
+            out = out.filter(F.col(c).isNotNull())
+        side = F.broadcast(side) if small else side
         out = out.join(side, label_text(c) == F.col(f"__l{i}"), "left").drop(f"__l{i}")
+        out = out if small else out.unionByName(missing)
         code = F.coalesce(F.col(f"__c{i}"), F.lit(n).cast("long"))
         out = out.withColumn(f"{c}{suffix}", code).drop(f"__c{i}")
     return out

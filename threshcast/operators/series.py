@@ -227,8 +227,13 @@ def recent_history(
     The rate is (earlier rows at the threshold) / (earlier rows + 1): the first row counts as
     one that is not at the threshold. Rows without site or season get NULL in both columns.
     """
+    grouped = F.col(site).isNotNull() & F.col(season).isNotNull()
+    # rows of no series go past the window: together they could be most rows, in one group
+    alone = df.filter(~grouped).withColumns(
+        {c: F.lit(None).cast("double") for c in (mean_name, rate_name)}
+    )
     out = past_features(
-        df,
+        df.filter(grouped),
         [site, season],
         time,
         [
@@ -239,13 +244,9 @@ def recent_history(
         rows,
         longest,
     )
-    grouped = F.col(site).isNotNull() & F.col(season).isNotNull()
     rate = F.coalesce("__hits", F.lit(0)) / (F.coalesce("__seen", F.lit(0)) + 1)
-    return out.select(
-        *cols(df.columns),
-        F.when(grouped, F.col(mean_name)).alias(mean_name),
-        F.when(grouped, rate).alias(rate_name),
-    )
+    out = out.select(*cols(df.columns), F.col(mean_name), rate.alias(rate_name))
+    return out.unionByName(alone)
 
 
 def sequence_position(

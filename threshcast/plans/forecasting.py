@@ -6,6 +6,8 @@ import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,6 @@ from threshcast.operators.cleaning import (
 from threshcast.operators.conformal import apply_shift, conformal_shift
 from threshcast.operators.features import engineer_features
 from threshcast.operators.folds import Period, fold_tables, nested_fold_tables
-from threshcast.operators.joins import align
 from threshcast.operators.learning import FeatureFrame, read_state, write_state
 from threshcast.operators.matrix_model import MatrixForecaster
 from threshcast.operators.quantiles import (
@@ -300,32 +301,35 @@ def predict_models(
     layout: Layout = Layout(),
     threshold: float = EXCEEDANCE,
     precaution: float = PRECAUTION,
-) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Observation rows with ``<model>_predictions`` (and ``<model>_q_...``), and scores.
+) -> tuple[DataFrame, dict[str, DataFrame], list[str]]:
+    """Observation rows with ``<model>_predictions`` (and ``<model>_q_...``), scores, and the names
+    of the models left out.
 
-    A model may be given as a loader. One that cannot be loaded or cannot forecast these
-    columns is logged and left out.
+    Models only add columns, so each forecasts on the table the others have added to; no row is
+    matched with itself. A model may be given as a loader; one whose files or entry are missing is
+    logged and left out. Any other error is raised.
     """
-    out, scores = df, {}
+    out, scores, absent = df, {}, []
     for name, model in models.items():
         try:
             ready = model if hasattr(model, "predict") else model()
-            forecast = ready.predict(df)
-            shown = [
-                c for c in forecast.columns if c.startswith(("q_", "pi_")) or c == "predictions"
-            ]
-            columns = [col(c).alias(f"{name}_{c}") for c in shown]
-            out_next = align(out, forecast.select(*layout.keys, *columns), layout.keys)
-            if layout.target in df.columns:
-                scores[name] = score(
-                    forecast,
-                    layout.target,
-                    "predictions",
-                    suite="core",
-                    threshold=threshold,
-                    precaution=precaution,
-                )
-            out = out_next
-        except Exception as e:
+        except (AnalysisException, Py4JJavaError, LookupError, FileNotFoundError) as e:
             log.error("model %s left out: %s", name, e)
-    return out, scores
+            absent.append(name)
+            continue
+        forecast = ready.predict(out)
+        added = [c for c in forecast.columns if c not in out.columns]
+        shown = [c for c in added if c.startswith(("q_", "pi_")) or c == "predictions"]
+        if layout.target in df.columns:
+            scores[name] = score(
+                forecast,
+                layout.target,
+                "predictions",
+                suite="core",
+                threshold=threshold,
+                precaution=precaution,
+            )
+        out = forecast.select(
+            *[col(c) for c in out.columns], *[col(c).alias(f"{name}_{c}") for c in shown]
+        )
+    return out, scores, absent
