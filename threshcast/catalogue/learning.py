@@ -263,6 +263,29 @@ def _two_valued(spark, folder):
 _ROUND = """, f{n} AS (SELECT weekend, f + 0.3 * (m / exp(f) - 1) AS f, m FROM f{o})"""
 
 
+def _three_rounds(df):
+    boost = PoissonBoost(3, 0.3, 2, row_share=1.0, feature_share=1.0)
+    return boost.fit(df, FeatureFrame.fit(df, ["weekend"]), "y", ["event_id"])
+
+
+def _reloaded(spark, model):
+    """The model as it comes back from its files."""
+    path = fresh_path(spark, "model")
+    model.write(path, spark)
+    return type(model).read(spark, path)
+
+
+@query(
+    "WITH "
+    + _WEEK
+    + """ SELECT 'weekend' AS feature, CASE WHEN count(DISTINCT weekend) > 1 THEN 3.0::DOUBLE ELSE 0 END AS importance FROM e"""
+)
+def importance_two_groups(spark, folder):
+    """Each round splits on the one feature there is, so it has all of the round's gain."""
+    found = _three_rounds(_two_valued(spark, folder)).importance()
+    return rounded(spark.createDataFrame(list(found.items()), "feature string, importance double"))
+
+
 @query(
     "WITH "
     + _WEEK
@@ -274,8 +297,7 @@ _ROUND = """, f{n} AS (SELECT weekend, f + 0.3 * (m / exp(f) - 1) AS f, m FROM f
 def poisson_boosting_two_groups(spark, folder):
     """Three rounds on weekend or not: each leaf takes the Newton step of its group."""
     df = _two_valued(spark, folder)
-    boost = PoissonBoost(3, 0.3, 2, row_share=1.0, feature_share=1.0)
-    model = boost.fit(df, FeatureFrame.fit(df, ["weekend"]), "y", ["event_id"])
+    model = _reloaded(spark, _three_rounds(df))
     out = model.predict(model.predict_mean(df, "mean"))
     return rounded(out.select("event_id", "mean", "predictions"), 5)
 
@@ -293,8 +315,40 @@ def quantile_forest_two_groups(spark, folder):
     """Leaves are weekend or not, so forecasts are the quantiles of both groups."""
     df = _two_valued(spark, folder)
     forest = QuantileForest([0.25, 0.5, 0.875], trees=3, max_depth=2, accuracy=200_000)
-    out = forest.fit(df, FeatureFrame.fit(df, ["weekend"]), "y").predict(df)
-    return rounded(out.select("event_id", *cols(["q_0.25", "q_0.5", "q_0.875"])))
+    model = _reloaded(spark, forest.fit(df, FeatureFrame.fit(df, ["weekend"]), "y"))
+    return rounded(model.predict(df).select("event_id", *cols(["q_0.25", "q_0.5", "q_0.875"])))
+
+
+@query(
+    "WITH "
+    + _WEEK
+    + """, x(f) AS (VALUES (0), (1)),
+r AS (SELECT f, weekend, y, row_number() OVER (PARTITION BY f, weekend ORDER BY y) AS k,
+  count(*) OVER (PARTITION BY f, weekend) AS n FROM e JOIN x ON event_id % 2 <> f),
+q AS (SELECT f, weekend, max(y) FILTER (k = ceil(0.25 * n)) AS a, max(y) FILTER (k = ceil(0.875 * n)) AS b
+  FROM r GROUP BY f, weekend)
+SELECT event_id, round(y, 6) AS y, round(a, 6) AS "q_0.25", round(b, 6) AS "q_0.875"
+FROM e JOIN q ON q.weekend = e.weekend AND q.f = event_id % 2"""
+)
+def oof_quantiles_two_groups(spark, folder):
+    """Out-of-fold quantiles are those of the group in the other fold; levels in any order."""
+    df = _two_valued(spark, folder)
+    forest = QuantileForest([0.875, 0.25], trees=3, max_depth=2, accuracy=200_000)
+    frame = FeatureFrame.fit(df, ["weekend"])
+    return rounded(out_of_fold(df, forest, frame, "y", ["event_id"], fold=F.col("event_id") % 2))
+
+
+@query(
+    "WITH "
+    + _WEEK
+    + """, m AS (SELECT weekend, avg(y) AS m FROM e GROUP BY weekend)
+SELECT event_id, round_even(greatest(m, 5), 0) AS predictions FROM e JOIN m USING (weekend)"""
+)
+def meta_learner_two_groups(spark, folder):
+    """On one two-valued quantile the meta-learner gives the mean of each group."""
+    df = _two_valued(spark, folder).withColumn("q_0.5", F.col("weekend") * 10)
+    meta = MetaLearner(["q_0.5"], rounds=5, tol=0).fit(df, "y")
+    return rounded(meta.predict(df).select("event_id", "predictions"))
 
 
 @query(
@@ -305,7 +359,7 @@ SELECT event_id, round(m, 6) AS predictions FROM e JOIN m USING (weekend)"""
 )
 def tree_baseline_two_groups(spark, folder):
     df = _two_valued(spark, folder)
-    model = Baseline("tree").fit(df, FeatureFrame.fit(df, ["weekend"]), "y")
+    model = _reloaded(spark, Baseline("tree").fit(df, FeatureFrame.fit(df, ["weekend"]), "y"))
     return rounded(model.predict(df).select("event_id", "predictions"))
 
 
@@ -321,7 +375,7 @@ def linear_baseline_one_feature(spark, folder):
     """Least squares on one feature whose missing values take its mean."""
     x = F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 89).cast("double"))
     df = events_as_observations(spark, folder).withColumn("x", x)
-    model = Baseline("linear", alpha=0.0).fit(df, FeatureFrame.fit(df, ["x"]), "y")
+    model = _reloaded(spark, Baseline("linear", alpha=0.0).fit(df, FeatureFrame.fit(df, ["x"]), "y"))
     return rounded(model.predict(df).select("event_id", "predictions"), 5)
 
 
