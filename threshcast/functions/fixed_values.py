@@ -85,3 +85,16 @@ QUANTILE_LEVELS = [0.05, 0.30, 0.50, 0.70, 0.80, 0.90, 0.92, 0.95, 0.98]
 # Text markers for a missing value and the label missing text is encoded as.
 NULL_MARKERS = ["NA", "?"]
 MISSING_LABEL = "nan"
+
+# Tuned settings of the meta-learner.
+META_ROUNDS = 180
+META_RATE = 0.08721057029770096
+META_FEATURE_SHARE = 0.9587602766121369
+
+# Settings of the linear and tree baselines and of boosting.
+BASELINE_ALPHA = 0.1
+BASELINE_L1_RATIO = 0.5
+BASELINE_DEPTH = 8
+BASELINE_LEAF = 40
+BOOST_ROUNDS = 100
+BOOST_RATE = 0.05

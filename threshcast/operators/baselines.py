@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threshcast.functions.columns import cols
+from threshcast.functions.fixed_values import (
+    BASELINE_ALPHA,
+    BASELINE_DEPTH,
+    BASELINE_L1_RATIO,
+    BASELINE_LEAF,
+)
 from threshcast.operators.learning import FeatureFrame
 
 
@@ -18,10 +24,10 @@ class Baseline:
     """kind 'linear' (elastic net) or 'tree' (one regression tree)."""
 
     kind: str = "linear"
-    alpha: float = 0.1
-    l1_ratio: float = 0.5
-    max_depth: int = 8
-    min_leaf: int = 40
+    alpha: float = BASELINE_ALPHA
+    l1_ratio: float = BASELINE_L1_RATIO
+    max_depth: int = BASELINE_DEPTH
+    min_leaf: int = BASELINE_LEAF
 
     def fit(self, df: DataFrame, frame: FeatureFrame, target: str) -> BaselineModel:
         data = frame.transform(df.filter(F.col(target).isNotNull()))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threshcast.functions.columns import cols, constrain_forecast, key_fraction
+from threshcast.functions.fixed_values import BOOST_RATE, BOOST_ROUNDS
 from threshcast.operators.learning import FeatureFrame, read_state, write_state
 from threshcast.session import discard, observed
 
@@ -30,8 +31,8 @@ class PoissonBoost:
     end early when that lowered the deviance by less than ``tol`` of what it was at first (0: never).
     """
 
-    rounds: int = 100
-    rate: float = 0.05
+    rounds: int = BOOST_ROUNDS
+    rate: float = BOOST_RATE
     max_depth: int = 5
     min_leaf: int = 20
     row_share: float = 0.8

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -18,7 +18,7 @@ from threshcast.operators.factors import Factors, factorise, implicit_target_mat
 from threshcast.operators.joins import equi_join
 from threshcast.operators.learning import FeatureFrame, read_state, write_state
 from threshcast.operators.matrix import group_means
-from threshcast.session import broadcast_if_small
+from threshcast.session import broadcast_if_small, discard, observed
 
 
 class FactorForest:
@@ -41,7 +41,7 @@ class FactorForest:
         data = frame.transform(features).select(
             "features", *[F.col(parts)[j].alias(f"y{j}") for j in range(rank)]
         )
-        data = data.persist()
+        data, _ = observed(data, "factor-rows")
 
         def one(j: int) -> RandomForestRegressionModel:
             return RandomForestRegressor(
@@ -57,7 +57,7 @@ class FactorForest:
         # the forests are independent and small, so their jobs are submitted side by side
         with ThreadPool(min(rank, 4)) as pool:
             models = pool.map(inheritable_thread_target(data.sparkSession)(one), range(rank))
-        data.unpersist()
+        discard(data)
         return cls(models, frame)
 
     def predict(self, features: DataFrame, name: str) -> DataFrame:
@@ -123,6 +123,7 @@ class MatrixForecaster:
         times = self.times_of(df)
         frame = FeatureFrame.fit(times, self.time_features)
         W = factors.W.select(F.col("row").alias("__day"), "w")
+        W = broadcast_if_small(W, derived=True)
         labelled = equi_join(times.withColumn("__day", F.to_date(self.time)), W, ["__day"])
         return self._forest(labelled, frame, "w")
 
@@ -159,8 +160,6 @@ class MatrixForecasterModel:
         s = self.settings
         W = self.temporal.predict(s.times_of(df), "w").select(s.time, "w")
         H = self.spatial.predict(s.sites_of(df), "h").select(s.site, "h")
-        # short factor tables spare the requested rows a shuffle per side
-        W, H = broadcast_if_small(W, derived=True), broadcast_if_small(H, derived=True)
         out = reconstruct(df, W, H, s.time, s.site, s.rank, name)
         return out.withColumn(name, constrain_forecast(name)) if constrained else out
 
@@ -169,8 +168,7 @@ class MatrixForecasterModel:
         self.factors.write(f"{path}/factors")
         self.temporal.write(f"{path}/temporal", spark)
         self.spatial.write(f"{path}/spatial", spark)
-        names = ("time", "site", "target", "time_features", "site_numbers", "site_labels", "rank")
-        state = {n: getattr(s, n) for n in names}
+        state = {f.name: getattr(s, f.name) for f in fields(s)}
         write_state(
             spark, path, json.dumps({k: list(v) if isinstance(v, tuple) else v for k, v in state.items()})
         )

@@ -140,12 +140,14 @@ def past_features(
     specs: Sequence[Past],
     rows: int = SERIES_ROWS,
     longest: int | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Add one column per :class:`Past`. (``keys``, ``time``) should identify a row."""
-    order = F.col(time).asc_nulls_last()
+    """Add one column per :class:`Past`. (``keys``, ``time``, ``ties``) should identify a row;
+    rows of one time are ordered by the columns ``ties``."""
+    order = [F.col(time).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ties]]
     split = split_series(df, keys, time, rows, longest)
     if split is None:
-        w = Window.partitionBy(*keys).orderBy(order)
+        w = Window.partitionBy(*keys).orderBy(*order)
 
         def parts(s: Past) -> dict[str, Column]:
             frame = w.rowsBetween(Window.unboundedPreceding if s.size is None else -s.size, -1)
@@ -154,7 +156,7 @@ def past_features(
         return df.withColumns({s.name: _result(s, parts(s)) for s in specs})
 
     piece_keys = [*keys, _PIECE]
-    w = Window.partitionBy(*piece_keys).orderBy(order)
+    w = Window.partitionBy(*piece_keys).orderBy(*order)
     whole = Window.partitionBy(*piece_keys)
     local = {"__i": F.row_number().over(w) - 1, "__len": F.count(F.lit(1)).over(whole)}
     for j, s in enumerate(specs):

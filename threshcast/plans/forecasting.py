@@ -41,6 +41,7 @@ from threshcast.operators.quantiles import (
 )
 from threshcast.operators.scoring import fold_scores, score
 from threshcast.operators.series import largest_group
+from threshcast.session import observed
 from threshcast.sources.tables import ROW_ID
 
 log = logging.getLogger(__name__)
@@ -264,7 +265,7 @@ def evaluate_models(
     """(scores, forecasts) of several models; scores per model, data set and fold, with the
     pooled rows as fold 'overall', from one aggregation over the forecasts.
 
-    Fitting reads the table many times; it is best prepared once and written, or persisted."""
+    Fitting reads the table many times; it is best prepared once and written."""
     parts = [
         fold_forecasts(make, df, periods, layout, **options).withColumn("model", F.lit(name))
         for name, make in makers.items()
@@ -284,14 +285,16 @@ def evaluate_models(
 def train_models(
     makers: dict[str, Callable[[DataFrame], object]], df: DataFrame, path: str | None = None
 ) -> dict[str, object]:
-    """Fit each forecaster on all rows; with ``path`` each model is saved below it."""
-    data = df.persist()
+    """Fit each forecaster on all rows; with ``path`` each model is saved below it.
+
+    The rows are written to the shared folder once and stay, as a model may still refer to them.
+    """
+    data, _ = observed(df, "training")
     models = {}
     for name, make in makers.items():
         models[name] = make(data).fit(data)
         if path is not None:
             models[name].write(f"{path}/{name}", df.sparkSession)
-    data.unpersist()
     return models
 
 
