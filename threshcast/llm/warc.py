@@ -17,6 +17,8 @@ from threshcast.session import broadcast_if_small, fresh_path
 
 #: A writing task begins another file beyond so many bytes; a reading task takes so many.
 FILE_BYTES, RANGE_BYTES = 256 << 20, 16 << 20
+#: More ranges than this share tasks.
+MOST_TASKS = 20_000
 #: Payloads of at least so many bytes are written once and revisited.
 LEAST_BYTES = 1000
 MAGIC = b"\x1f\x8b\x08"
@@ -246,7 +248,10 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = T
     raises an error.
     """
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
-    ranges = manifest.select("path", "bytes", cut.alias("start")).repartition("path", "start")
+    # tasks by number, as Spark would put the few bytes that name many ranges into one
+    wanted = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    tasks = max(1, min(int(wanted), MOST_TASKS))
+    ranges = manifest.select("path", "bytes", cut.alias("start")).repartition(tasks, "path", "start")
 
     def list_heads(batches):
         for batch in batches:
@@ -272,7 +277,7 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = T
     # a file without any candidate must still be looked at
     listed = listed.unionByName(manifest.where("bytes > 0").select("path", "bytes"), allowMissingColumns=True)
     settled = listed.groupBy("path").applyInArrow(settle, "path string, bytes long, start long, first long")
-    ranges = settled.repartition("path", "start")
+    ranges = settled.repartition(tasks, "path", "start")
 
     def rows_of(path: str, size: int, start: int, at: int):
         system, inner = _open(path)
