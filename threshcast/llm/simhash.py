@@ -232,9 +232,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield links(pa.Table.from_batches(held))
 
+    # by number: tiles cost more than their bytes tell, so tasks are not to be merged by size
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = (
         tiled.select("tile", "side", "fp", "rep")
-        .repartition("tile")
+        .repartition(tasks, "tile")
         .sortWithinPartitions("tile", "fp")
         .mapInArrow(compare, "u long, v long")
     )
