@@ -107,18 +107,24 @@ def _regression_class(name, rows):
       / (var_pop(ly) FILTER ({rows}) * count(*) FILTER ({rows})), 6) END AS log_r2_{name}"""
 
 
-@query(
-    "WITH "
-    + FORECASTS
-    + """, a AS (SELECT season, y, CASE WHEN p - 20 <= 0 THEN 5 ELSE p - 20 END AS q FROM fc),
-b AS (SELECT *, ln(1 + y) AS ly, ln(1 + q) AS lq FROM a)
-SELECT season, round(sqrt(avg((ly-lq)*(ly-lq))), 6) AS log_rmse, round(avg(abs(y-q)), 6) AS mae,
+_REGRESSION = (
+    """round(sqrt(avg((ly-lq)*(ly-lq))), 6) AS log_rmse, round(avg(abs(y-q)), 6) AS mae,
   round(100 * sqrt(avg((ly-lq)*(ly-lq))) / (max(ly) - min(ly)), 6) AS log_nrmse,
   round(sum(abs(y-q)) FILTER (y <> 0) / sum(y), 6) AS weighted_mape,
   round(sum(abs(ly-lq)) FILTER (ly <> 0) / sum(ly), 6) AS log_weighted_mape,
   round(1 - sum((ly-lq)*(ly-lq)) / (var_pop(ly) * count(*)), 6) AS log_r2"""
     + _regression_class("safe", "y < 100")
     + _regression_class("exceedance", "y >= 100")
+)
+
+
+@query(
+    "WITH "
+    + FORECASTS
+    + """, a AS (SELECT season, y, CASE WHEN p - 20 <= 0 THEN 5 ELSE p - 20 END AS q FROM fc),
+b AS (SELECT *, ln(1 + y) AS ly, ln(1 + q) AS lq FROM a)
+SELECT season, """
+    + _REGRESSION
     + " FROM b GROUP BY season"
 )
 def regression_scores(spark, folder):
@@ -126,14 +132,10 @@ def regression_scores(spark, folder):
     return rounded(score(fc, "y", "p", ["season"], "regression", HIGH))
 
 
-@query(
-    "WITH "
-    + FORECASTS
-    + _flags()
-    + """, c AS (SELECT site, count(*) FILTER (ty AND tp) AS tp, count(*) FILTER (NOT ty AND tp) AS fp,
+_COUNTS = """count(*) FILTER (ty AND tp) AS tp, count(*) FILTER (NOT ty AND tp) AS fp,
   count(*) FILTER (NOT ty AND NOT tp) AS tn, count(*) FILTER (ty AND NOT tp) AS fn,
-  count(*) FILTER (ty AND p >= 50 AND p < 100) AS warned FROM m GROUP BY site)
-SELECT site, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy,
+  count(*) FILTER (ty AND p >= 50 AND p < 100) AS warned"""
+_RATES = """round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy,
   round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS recall_safe,
   round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall_exceedance,
   round(coalesce(tn / nullif(tn + fn, 0), 0), 6) AS precision_safe,
@@ -145,7 +147,18 @@ SELECT site, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy,
   round(coalesce(5.0 * tn / nullif(5.0 * tn + 4.0 * fp + fn, 0), 0), 6) AS fbeta_safe_2,
   round(coalesce(5.0 * tp / nullif(5.0 * tp + 4.0 * fn + fp, 0), 0), 6) AS fbeta_exceedance_2,
   tn, fp, fn, tp, warned + tp AS precautionary,
-  round(coalesce((warned + tp) / nullif(tp + fn, 0), 0), 6) AS recall_precautionary FROM c"""
+  round(coalesce((warned + tp) / nullif(tp + fn, 0), 0), 6) AS recall_precautionary"""
+
+
+@query(
+    "WITH "
+    + FORECASTS
+    + _flags()
+    + ", c AS (SELECT site, "
+    + _COUNTS
+    + " FROM m GROUP BY site) SELECT site, "
+    + _RATES
+    + " FROM c"
 )
 def classification_scores(spark, folder):
     fc = forecasts(spark, folder)
@@ -207,6 +220,55 @@ def fold_summary(spark, folder):
     return out.select("model", "TP", "FP", "TN", "FN", "rmse", "sensitivity", "specificity")
 
 
+_CLASSES = ["safe", "exceedance"]
+_ERRORS = ["log_rmse", "mae", "log_nrmse", "weighted_mape", "log_weighted_mape", "log_r2"] + [
+    f"{m}_{c}" for c in _CLASSES for m in ("mae", "weighted_mape", "log_weighted_mape", "nrmse", "log_r2")
+]
+
+
+@query(
+    "WITH "
+    + FORECASTS
+    + _flags()
+    + _FOLD
+    + """, a AS (SELECT model, fold, y, CASE WHEN p - 20 <= 0 THEN 5 ELSE p - 20 END AS q FROM x),
+b AS (SELECT *, ln(1 + y) AS ly, ln(1 + q) AS lq FROM a), d AS (SELECT model, fold, """
+    + _REGRESSION.replace(", 6)", ", 14)")
+    + " FROM b GROUP BY model, fold) SELECT model, "
+    + ", ".join(f"round(avg({c}), 4) AS {c}" for c in _ERRORS)
+    + " FROM d GROUP BY model"
+)
+def regression_fold_summary(spark, folder):
+    fc = _folded(spark, folder).withColumn("p", F.col("p") - 20)
+    folds = score(fc, "y", "p", ["model", "fold"], "regression", HIGH)
+    return rounded(summarise_folds(folds.drop("fold"), ["model"]))
+
+
+_SHARES = ["accuracy", "balanced_accuracy", "specificity", "recall_precautionary"] + [
+    f"{m}_{c}" for c in _CLASSES for m in ("recall", "precision")
+] + [f"fbeta_{c}_{b}" for c in _CLASSES for b in ("1_5", "2")]
+
+
+@query(
+    "WITH "
+    + FORECASTS
+    + _flags()
+    + _FOLD
+    + ", c AS (SELECT model, fold, "
+    + _COUNTS
+    + " FROM x GROUP BY model, fold), d AS (SELECT model, "
+    + _RATES.replace(", 6)", ", 14)")
+    + " FROM c) SELECT model, "
+    + ", ".join(f"round(avg({c}), 4) AS {c}" for c in _SHARES)
+    + ", "
+    + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("tp", "fp", "tn", "fn", "precautionary"))
+    + " FROM d GROUP BY model"
+)
+def classification_fold_summary(spark, folder):
+    folds = score(_folded(spark, folder), "y", "p", ["model", "fold"], "classification", HIGH, WARN)
+    return rounded(summarise_folds(folds.drop("fold"), ["model"]))
+
+
 @query(
     "WITH "
     + FORECASTS
