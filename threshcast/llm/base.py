@@ -12,6 +12,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows and bytes of a batch that Spark hands to Python at once, where the session says nothing else.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Smaller Arrow batches for texts: several are held at once on both sides of a task."""
+    spark = df.sparkSession
+    for name, usual, value in (("maxRecordsPerBatch", 10_000, BATCH_ROWS), ("maxBytesPerBatch", 64 << 20, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, str(usual)).rstrip("bB") in (str(usual), str((1 << 31) - 1)):
+            spark.conf.set(key, value)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder: short lineage, survives lost executors."""
     spark = df.sparkSession

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threshcast.llm.base import stored
+from threshcast.llm.base import small_batches, stored
+from threshcast.llm.remember import release
 from threshcast.session import broadcast_if_small
 
 #: Labelled rows (as expected by a hash of their text) the text model is fitted on at most.
@@ -107,12 +108,14 @@ def fit_text(rows: DataFrame, text_col: str = "text", label_col: str = "lang", t
     held = rows.select(F.col(f"`{text_col}`").alias("text"), code(F.col(f"`{label_col}`")).alias("label")).where(
         "text is not null and label is not null"
     )
+    small_batches(rows)
     total = held.count()
     if total > train_rows:
         share = int(train_rows / total * (1 << 30))
         held = held.where(F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1 << 30)) < share)
 
     def count(batches):
+        release()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             labels = np.array(batch.column(1).to_pylist(), object)
@@ -178,6 +181,7 @@ def fit(docs: DataFrame, text: TextModel, text_col: str = "text", declared: Colu
                        place_of(F.lit(None) if address is None else address).alias("place"))
 
     def score(batches):
+        release()
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             p = _posterior(_shared(*text_scores(texts, text), text))
@@ -235,6 +239,7 @@ def identify(docs: DataFrame, evidence: Evidence, text_col: str = "text", declar
     at, said, elsewhere = columns.index(text_col), evidence.declared, evidence.elsewhere
 
     def fuse(batches):
+        release()
         none = np.zeros(len(text.languages))
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]

@@ -13,17 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from threshcast.llm.base import stored
-from threshcast.llm.remember import Remembered
+from threshcast.llm.base import small_batches, stored
+from threshcast.llm.remember import Remembered, held
 
 #: Strings whose ids a task remembers at most; later new ones are encoded each time they come.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 _LETTERS, _NUMBERS, _BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 #: How the tokenizer itself cuts texts of the first 256 code points, after lower-casing.
 _CUTS = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+"
 )
-_ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
@@ -59,9 +58,7 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held((WordEncoder, path), lambda: WordEncoder(path))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -97,6 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0,
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
 

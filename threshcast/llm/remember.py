@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from bisect import bisect_right
 from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What a Python worker keeps from task to task: one thing at a time, the last asked for."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Drop what the worker keeps, before a task that has another use for the memory."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)  # what is free goes back to the system
 
 
 class Remembered:

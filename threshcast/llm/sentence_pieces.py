@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshcast.llm.remember import Remembered
+from threshcast.llm.remember import Remembered, held
 
 #: Strings whose ids a task remembers at most; later new ones are encoded each time they come.
 REMEMBERED = 1_000_000
@@ -20,7 +20,6 @@ _MARK = "▁"
 # Fixed values of the model file's format: kinds of pieces and of models.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
-_READY: dict[tuple, "PieceCoder"] = {}
 
 
 class PieceCoder:
@@ -152,9 +151,7 @@ class PieceCoder:
 
 def coder(path: str, threads: int = 1) -> PieceCoder:
     """One coder for each Python worker."""
-    if (path, threads) not in _READY:
-        _READY[path, threads] = PieceCoder(Path(path).read_bytes(), threads)
-    return _READY[path, threads]
+    return held((PieceCoder, path, threads), lambda: PieceCoder(Path(path).read_bytes(), threads))
 
 
 CODED = "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean, parity boolean"

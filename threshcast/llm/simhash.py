@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshcast.llm.base import components, stored
+from threshcast.llm.base import components, small_batches, stored
+from threshcast.llm.remember import release
 
 #: A bucket of more fingerprints is compared tile by tile, each tile in a task of its own.
 TILE = 2048
@@ -41,6 +42,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) for every row; ``fp`` is the fingerprint as a signed long."""
 
     def run(batches):
+        release()
         for batch in batches:
             found = np.fromiter(
                 (fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows
@@ -49,6 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"]
             )
 
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 

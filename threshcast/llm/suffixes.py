@@ -27,6 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threshcast.llm.base import small_batches
+from threshcast.llm.remember import release
+
 GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 _SLAB = 1 << 19
@@ -94,6 +97,7 @@ class Group:
     """The documents of a group in order of id, as one buffer of bytes."""
 
     def __init__(self, t: pa.Table):
+        release()
         t = t.set_column(t.schema.get_field_index("_text"), "_text", pc.fill_null(t["_text"], ""))
         order = pc.sort_indices(t, [("_id", "ascending"), ("_text", "ascending")], null_placement="at_end")
         self.table = t.take(order)
@@ -275,6 +279,7 @@ def sorted_runs(group: Group, window: int, flagged: np.ndarray, at, lo, hi, h48,
 
 def bucket_spans(blobs: list[tuple[int, bytes]], window: int):
     """(group, document, start, end) arrays of repeated bytes found in a bucket's runs."""
+    release()
     runs = [unpacked(b) for _, b in blobs]
     groups = np.array([g for g, _ in blobs], np.int64)
     keys = [front_decoded(r["shared"], r["length"], r["rest"]) for r in runs]
@@ -392,6 +397,7 @@ def cut_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text
     all three passes. Groups and buckets grow in number with the input, not in size; a string
     that very many documents share is one entry per group.
     """
+    small_batches(docs)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups, buckets = 64 + total // GROUP_BYTES, 48 + total // BUCKET_BYTES
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
