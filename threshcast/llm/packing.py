@@ -34,13 +34,13 @@ class WordEncoder:
     strings; others, and texts that may hold its special tokens, are cut at spaces and line ends.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks keep the cores busy
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         encode = lambda part: [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
-        self.remembered = Remembered(encode, "<u4", REMEMBERED)
+        self.remembered = Remembered(encode, "<u4", REMEMBERED if remembered is None else remembered)
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -56,16 +56,17 @@ class WordEncoder:
         return self.remembered.ids([self.cut(t) for t in texts])
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, remembered: int | None = None) -> WordEncoder:
     """One encoder for each Python worker."""
-    return held((WordEncoder, path), lambda: WordEncoder(path))
+    return held((WordEncoder, path, remembered), lambda: WordEncoder(path, remembered))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0,
-           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+           remembered: int | None = None) -> DataFrame:
     """Token pieces of every row: ids of the text, then ``end_id``, cut every ``capacity`` ids.
 
     ``ids_crc32`` is the checksum of the ids as little-endian 32-bit numbers; ``with_ids`` adds
@@ -73,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0,
     """
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, remembered)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
@@ -185,14 +186,15 @@ def pack(cut: DataFrame, capacity: int, id_col: str = "doc_id", piece_col: str =
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
-                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+                   remembered: int | None = None) -> DataFrame:
     """Every document's pieces with their sequence and place.
 
     Null text counts as empty (one piece, the end id alone). Longer documents are cut into pieces
     of ``capacity``; nothing else is cut. Rows with a repeated or missing id are packed as
     documents of their own. An empty table gives no rows; other columns are ignored.
     """
-    cut = stored(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "pieces")
+    cut = stored(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids, remembered), "pieces")
     return pack(cut, capacity)
 
 
