@@ -82,6 +82,35 @@ def test_rewritten_history_is_seen():
     assert state.output == forgetful([("user", "a"), ("assistant", "think|b"), ("user", "c"), ("assistant", "more|d")])
 
 
+def flagged(template, turns):
+    state = chat.Incremental(template)
+    return [i for i, m in enumerate(turns) if state.add(m)[1] > 0]
+
+
+def flagged_by_whole_prefixes(template, turns):
+    outs = [template(turns[:i]) for i in range(len(turns) + 1)]
+    return [i for i in range(len(turns)) if not outs[i + 1].startswith(outs[i])]
+
+
+def test_history_rewritten_far_back_is_seen(spark):
+    def last_forty(messages):
+        return "".join(f"<{r}>{t}" for r, t in messages[-40:])
+
+    def thoughts_since_user(messages):  # drops thoughts before the last user turn
+        last = max((i for i, m in enumerate(messages) if m[0] == "user"), default=-1)
+        return "".join(f"<{r}>{t if i > last else t.split('|')[-1]}" for i, (r, t) in enumerate(messages))
+
+    turns = [("user" if i % 2 else "assistant", str(i)) for i in range(100)]
+    assert flagged(last_forty, turns) == flagged_by_whole_prefixes(last_forty, turns) == list(range(40, 100))
+    turns = [("user", "a"), ("assistant", "think|b"), *[("tool", str(i)) for i in range(33)], ("user", "c")]
+    turns += [("tool", str(i)) for i in range(64)]
+    assert flagged(thoughts_since_user, turns) == flagged_by_whole_prefixes(thoughts_since_user, turns) == [35]
+
+    rows = [(1, i, *m) for i, m in enumerate(turns)]
+    got = chat.format_turns(conversations(spark, rows), thoughts_since_user).collect()
+    assert [r.turn for r in got if r.revised] == [35]
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, None, None), (1, None, "user", "x"), (1, 0, "assistant", "y"), (1, 0, "assistant", "y"), (None, 1, "assistant", "n"), (2, 5, "assis\ntant<|", "<|im_end|>")]
     rows += [(7, i, "assistant" if i % 2 else "user", f"turn {i} <|im_start|>") for i in range(2000)] + [(8, 0, "assistant", "long " * 100_000)]

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns rendered together at most; a longer conversation goes on from its last turns.
+#: Turns of a template that declares how far it looks back that are rendered together at most, and
+#: how far ``marked`` does; a longer conversation goes on from its last turns.
 BLOCK, CONTEXT = 32, 2
 # The control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -41,24 +42,35 @@ def marked(messages: list[Message]) -> str:
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in messages)
 
 
+#: Append-only: what a turn adds depends on no turn further back.
+marked.context = CONTEXT
+
+
 class Incremental:
     """What each turn adds to a template's output, found by rendering prefixes one after another.
 
     The output for turns 1..n must begin with that for 1..n-1; the rest is the turn's span. If it
     doesn't, the template has rewritten its history: the turn is flagged, its span begins where
-    the outputs part, and ``revised`` is how many characters before it were taken back. After
-    ``block`` turns rendering goes on from the last ``context`` turns, so a conversation of any
-    length costs as many renderings as it has turns, each of at most ``block + context`` turns.
-    At such a seam the context alone must render as it stood at the end of the output; else
-    the template looks further back, and the block grows instead.
+    the outputs part, and ``revised`` is how many characters before it were taken back.
+
+    A template is only called, so nothing but whole prefixes tells how far back it looks: each
+    turn renders all turns so far, which are held. ``context`` (or an attribute of that name on the
+    template) declares that the template only appends and looks at no more than so many last
+    turns. Then, after ``block`` turns, rendering goes on from the last ``context`` turns, so a
+    conversation of any length costs as many renderings as it has turns, each of at most
+    ``block + context`` turns. At such a seam the context alone must render as it stood at the end
+    of the output; else the block grows instead. That guards against a wrong declaration but
+    doesn't prove a right one.
     """
 
-    def __init__(self, template: Template, block: int = BLOCK, context: int = CONTEXT):
+    def __init__(self, template: Template, block: int = BLOCK, context: int | None = None):
+        if context is None:
+            context = getattr(template, "context", None)
         self.template, self.block, self.context = template, block, context
         self.turns: list[Message] = []
         self.output = template([])
         self.opening = self.output
-        self.limit = block + context
+        self.limit = None if context is None else block + context
 
     def add(self, message: Message) -> tuple[str, int]:
         """(what the turn adds, characters of the output before it that were taken back)."""
@@ -70,7 +82,7 @@ class Incremental:
             same = next((i for i, (a, b) in enumerate(zip(self.output, after)) if a != b), min(len(self.output), len(after)))
             added, revised = after[same:], len(self.output) - same
         self.output = after
-        if len(self.turns) >= self.limit:
+        if self.limit is not None and len(self.turns) >= self.limit:
             self._seam()
         return added, revised
 
@@ -114,7 +126,9 @@ def format_turns(conversations: DataFrame, template: Template = marked, trained:
     conversation's output before the span; ``content_start`` and ``content_end`` are within the
     span, or null where the escaped text is not found in it; ``loss`` marks turns of ``trained``
     roles; ``revised`` is above 0 where the template rewrote history. Tasks stream over sorted
-    rows and hold one block of turns, so a conversation may be of any length. Null texts and
+    rows. With a template that declares its ``context`` (see ``Incremental``) they hold one block of
+    turns, so a conversation may be of any length; with any other they hold a conversation and
+    render it whole for each turn. Null texts and
     roles are empty, null ids are one conversation, repeated rows are turns of their own. An
     empty table gives no rows; other columns are not read.
     """
