@@ -261,6 +261,27 @@ def test_out_of_fold_covers_every_row_once(table, frame):
     assert meta.predict(out).filter("predictions < 5").count() == 0
 
 
+def test_meta_learner_fits_a_hot_vector_and_all_rows(spark):
+    ids = spark.range(600)
+    tenth = F.pmod(F.xxhash64(F.col("v").cast("double")), F.lit(10)) == 0
+    values = spark.range(5, 200).select(F.col("id").alias("v"))
+    hot = values.filter(tenth).first()[0]
+    cold = values.filter(~tenth).first()[0]
+    rows = ids.withColumn("q", F.when(F.col("id") % 3 == 0, hot).otherwise(cold).cast("double"))
+    rows = rows.withColumn("y", F.when(F.col("q") == hot, 90.0).otherwise(10.0))
+    settings = {"rounds": 12, "rate": 0.5, "max_depth": 1}
+    for keys in (["id"], None):
+        out = MetaLearner(["q"], **settings).fit(rows, "y", keys).predict(rows)
+        assert {(r.y, r.predictions) for r in out.collect()} == {(90.0, 90.0), (10.0, 10.0)}
+    meta = MetaLearner(["q"], **settings)
+    meta.tune(rows, "y", {"maxDepth": [1, 2]}, folds=2, keys=["id"])
+    assert {(r.y, r.predictions) for r in meta.predict(rows).collect()} == {(90.0, 90.0), (10.0, 10.0)}
+    one = rows.filter(F.col("q") == hot)  # all on one side of a hash of the quantiles
+    for table in (one, one.select("q", "y")):
+        out = MetaLearner(["q"], **settings).fit(table, "y").predict(table)
+        assert {r.predictions for r in out.collect()} == {90.0}
+
+
 @pytest.mark.parametrize("meta", [False, True])
 def test_calibrated_forecaster(table, spark, tmp_path, meta):
     train, test = table.filter("t < '2023-01-01'"), table.filter("t >= '2023-01-01'")

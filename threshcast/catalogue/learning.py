@@ -102,7 +102,7 @@ def meta_learner(spark, folder):
     frame, forest = _frame(train), _forest()
     oof = out_of_fold(train, forest, frame, "y", ["site", "t"])
     columns = [level_column(q) for q in forest.levels]
-    meta = MetaLearner(columns).fit(oof, "y")
+    meta = MetaLearner(columns).fit(oof, "y", ["site", "t"])
     scored = meta.predict(forest.fit(train, frame, "y").predict(test))
     return rounded(scored.select("site", "t", "y", "predictions"))
 
@@ -114,7 +114,7 @@ def meta_learner_grid(spark, folder):
     forest = _forest()
     oof, _ = observed(out_of_fold(df, forest, _frame(df), "y", ["site", "t"]), "oof")
     meta = MetaLearner([level_column(q) for q in forest.levels])
-    best = meta.tune(oof, "y", {"stepSize": [0.05, 0.2], "maxDepth": [2, 3]})
+    best = meta.tune(oof, "y", {"stepSize": [0.05, 0.2], "maxDepth": [2, 3]}, keys=["site", "t"])
     rows = [(k, float(v)) for k, v in best.items()]
     return rounded(spark.createDataFrame(rows, "name string, value double"))
 

@@ -152,7 +152,7 @@ class QuantileForecaster:
         meta = None
         if self.meta:
             oof = out_of_fold(df, self.forest, frame, lay.target, lay.keys)
-            meta = MetaLearner(columns, **self.meta_options).fit(constrain(oof, columns), lay.target)
+            meta = MetaLearner(columns, **self.meta_options).fit(constrain(oof, columns), lay.target, lay.keys)
         return QuantileForecasterModel(fitted, columns, self._upper(fitted.levels), shift, meta)
 
     def _upper(self, levels: Sequence[float]) -> str:
