@@ -79,6 +79,13 @@ def test_odd_rows(spark):
     assert simhash.near_groups(df.limit(0)).collect() == []
 
 
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    prose, other = "one two three four five", "a clean text of its own"
+    rows = [(3, prose), (5, prose.upper()), (5, other), (5, other), (7, other)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], documents(spark, []).schema)
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == [(3, prose), (5, other)]
+
+
 def test_components_of_a_long_path(spark):
     rng = random.Random(3)
     names = rng.sample(range(10_000), 300)

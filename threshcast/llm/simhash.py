@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threshcast.llm.base import components, small_batches, stored
+from threshcast.llm.near_texts import keep_least
 from threshcast.llm.remember import release
 
 #: A bucket of more fingerprints is compared tile by tile, each tile in a task of its own.
@@ -252,11 +253,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the smallest id.
+    """``docs`` with one row of each near-duplicate group: that of the smallest (id, text hash).
 
-    Of rows that repeat that id one stays; rows without an id stay, as no group can name them.
+    Rows of one id and different texts are rows of their own, so texts are grouped by their hash;
+    rows without an id stay, as no group can name them.
     """
-    groups = near_groups(docs, id_col, text_col, **settings)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    stay = docs.join(kept.distinct(), id_col, "left_semi").dropDuplicates([id_col])
-    return stay.union(docs.where(F.col(id_col).isNull()))
+    texts = docs.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    groups = near_groups(texts, **settings)
+    named = groups.select(F.col("doc_id").alias("th"), F.col("component_id").alias("component")).distinct()
+    return keep_least(docs, named, id_col, text_col)
