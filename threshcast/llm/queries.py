@@ -16,6 +16,7 @@ from threshcast.llm import (
     secrets,
     sentence_pieces,
     simhash,
+    streaming_bpe,
     suffixes,
     warc,
 )
@@ -143,3 +144,9 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Order MinHash of every document, of its edited text, and how alike they are."""
     return order_minhash.compare_edited(table(spark, folder, "documents"))
+
+
+@query
+def op12_streaming_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to."""
+    return streaming_bpe.transcode(table(spark, folder, "documents"), streaming_bpe.byte_model_path())
