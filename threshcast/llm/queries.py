@@ -12,6 +12,7 @@ from threshcast.llm import (
     language,
     order_minhash,
     packing,
+    phrases,
     quality,
     secrets,
     sentence_pieces,
@@ -150,3 +151,42 @@ def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op12_streaming_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
     return streaming_bpe.transcode(table(spark, folder, "documents"), streaming_bpe.byte_model_path())
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """First 2000 phrases of two or three words of each language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+SQL["op13_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS w
+  FROM w, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, w, count(*) AS f FROM g GROUP BY lang, k, w),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, w, f AS a FROM f WHERE k > 1 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.w, c.a, j, l.f AS l, r.f AS r,
+         ((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM c, (VALUES (1), (2)) AS cuts(j)
+  JOIN f AS l ON l.lang = c.lang AND l.k = j AND l.w = c.w[1:j]
+  JOIN f AS r ON r.lang = c.lang AND r.k = c.k - j AND r.w = c.w[j + 1:c.k]
+  WHERE j < c.k),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, j) = 1),
+longer AS (
+  SELECT lang, part, max(a) AS most FROM (
+    SELECT lang, w[1:2] AS part, a FROM c WHERE k = 3 UNION ALL SELECT lang, w[2:3], a FROM c WHERE k = 3)
+  GROUP BY lang, part),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.part = best.w
+  WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank,
+       array_to_string(w, ' ') AS phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang)
+QUALIFY rank <= 2000"""
