@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threshcast.llm import (
     chat,
     language,
+    lexical,
     order_minhash,
     packing,
     phrases,
@@ -147,6 +148,30 @@ def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.compare_edited(table(spark, folder, "documents"))
 
 
+@query
+def op11_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_TERMS = r"""unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+SQL["op11_ranked_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS} FROM documents) GROUP BY doc_id, term),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM d GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+m AS (SELECT doc_id, 100 - 75 + (75 * n * docs) // terms AS m FROM n, s),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM d GROUP BY term), s),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY item_id, term),
+r AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN d USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+             doc_id, score FROM r WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10"""
+
+
 @query
 def op12_streaming_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
