@@ -90,6 +90,20 @@ MISSING_LABEL = "nan"
 META_ROUNDS = 180
 META_RATE = 0.08721057029770096
 META_FEATURE_SHARE = 0.9587602766121369
+META_LEAVES = 40
+META_L2 = 0.6540961177848345
+
+# Settings of the quantile ensemble besides those of boosting.
+PINBALL_LEAF = 10
+PINBALL_L2 = 0.45
+
+# Names of searched parameters, and the settings they stand for.
+SEARCH_NAMES = {
+    "n_estimators": "rounds", "learning_rate": "rate", "num_leaves": "leaves",
+    "min_data_in_leaf": "min_leaf", "colsample_bytree": "feature_share", "reg_lambda": "l2",
+    "maxIter": "rounds", "stepSize": "rate", "maxDepth": "max_depth",
+    "minInstancesPerNode": "min_leaf", "subsamplingRate": "row_share",
+}
 
 # Settings of the linear and tree baselines and of boosting.
 BASELINE_ALPHA = 0.1

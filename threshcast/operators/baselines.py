@@ -16,7 +16,7 @@ from threshcast.functions.fixed_values import (
     BASELINE_L1_RATIO,
     BASELINE_LEAF,
 )
-from threshcast.operators.learning import FeatureFrame
+from threshcast.operators.learning import FeatureFrame, saved, saving
 
 
 @dataclass
@@ -58,9 +58,11 @@ class BaselineModel:
         return scored.select(*cols(df.columns), F.col("__p").alias(name))
 
     def write(self, path: str, spark) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        self.frame.write(f"{path}/frame", spark)
+        with saving(spark, path) as part:
+            self.model.write().save(f"{part}/model")
+            self.frame.write(f"{part}/frame", spark)
 
     @classmethod
     def read(cls, spark, path: str) -> BaselineModel:
-        return cls(PipelineModel.load(f"{path}/model"), FeatureFrame.read(spark, f"{path}/frame"))
+        part = saved(spark, path)
+        return cls(PipelineModel.load(f"{part}/model"), FeatureFrame.read(spark, f"{part}/frame"))

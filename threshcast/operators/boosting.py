@@ -1,34 +1,51 @@
-"""Boosted trees for counts: Newton steps on the Poisson loss with ``pyspark.ml`` trees.
-
-With mu = exp(F), one round fits a regression tree to (y - mu) / mu with weights mu. The
-weighted mean of a leaf is then sum(y - mu) / sum(mu), the Newton step of that leaf.
-"""
+"""Boosted trees for counts: Newton steps on the Poisson loss."""
 
 from __future__ import annotations
 
 import json
-import math
-import random
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threshcast.functions.columns import cols, constrain_forecast, key_fraction
+from threshcast.functions.columns import col, cols, constrain_forecast
 from threshcast.functions.fixed_values import BOOST_RATE, BOOST_ROUNDS
-from threshcast.operators.learning import FeatureFrame, read_state, write_state
-from threshcast.session import discard, observed
+from threshcast.operators.learning import FeatureFrame, read_state, saved, saving, write_state
+from threshcast.operators.members import KEY, Boosted, Boosting, Growth, Loss, Member
+from threshcast.operators.trees import node_table, read_nodes
+
+
+def training_rows(df: DataFrame, frame: FeatureFrame, target: str, keys: Sequence[str | Column], *more: Column) -> DataFrame:
+    """Features as an array, target and a hash of the keys, for rows that have a target."""
+    hashed = F.xxhash64(*[col(k) if isinstance(k, str) else k for k in keys]) if keys else F.lit(0).cast("long")
+    data = frame.transform(df.filter(F.col(target).isNotNull()), "__features")
+    return data.select(*more, hashed.alias(KEY), vector_to_array("__features").alias("x"), F.col(target).cast("double").alias("y"))
+
+
+def settled(tol: float, floor: float, span: int = 10):
+    """A stop rule: whether the last ``span`` rounds (or more) lowered the loss by less than ``tol``
+    of what there was to explain (the loss at first, less ``floor``)."""
+
+    def stop(out: Boosted) -> bool:
+        now = max(out.losses)
+        before = max((n for n in out.losses if n <= now - span), default=None)
+        if before is None:
+            return False
+        return out.losses[before][0] - out.losses[now][0] < tol * (out.losses[0][0] - floor)
+
+    return stop
 
 
 @dataclass
 class PoissonBoost:
-    """Settings; depth 5 allows 32 leaves.
+    """Settings.
 
-    Every ``cut_every`` rounds the state is written and its deviance taken in the same job; rounds
-    end early when that lowered the deviance by less than ``tol`` of what it was at first (0: never).
+    Trees grow to ``max_depth`` and keep their best ``leaves`` leaves by gain; a leaf takes
+    soft(sum of (y - mu), ``l1``) / (sum of mu + ``l2``). All ``rounds`` are run, unless ``tol``
+    is above 0: then rounds end once ten of them lower the deviance by less than ``tol`` of what
+    it was at first.
     """
 
     rounds: int = BOOST_ROUNDS
@@ -39,96 +56,83 @@ class PoissonBoost:
     row_period: int = 5
     feature_share: float = 0.8
     seed: int = 42
-    cut_every: int = 10
-    tol: float = 5e-3
+    cut_every: int = 5
+    tol: float = 0.0
+    leaves: int = 31
+    l1: float = 0.0
+    l2: float = 0.0
 
     def fit(
         self, df: DataFrame, frame: FeatureFrame, target: str, keys: list[str]
     ) -> PoissonBoostModel:
         """``keys`` identify a row and decide which rows a bag holds."""
-        data = frame.transform(df.filter(F.col(target).isNotNull()))
-        mean = data.agg(F.avg(target)).first()[0]
-        if not mean or mean <= 0:
-            raise ValueError("the target needs a positive mean")
-        base = math.log(mean)
-        data = data.select(
-            *keys, "features", F.col(target).cast("double").alias("y"), F.lit(base).alias("F")
+        data = training_rows(df, frame, target, keys)
+        growth = Growth(
+            self.rate, self.max_depth, self.leaves, self.min_leaf, self.l1, self.l2,
+            self.row_share, self.row_period, self.feature_share, self.seed,
         )
-        # half the Poisson deviance, without what the forecast does not change
-        loss = F.sum(F.exp("F") - F.col("y") * F.col("F"))
-        best = F.sum(F.when(F.col("y") > 0, F.col("y") - F.col("y") * F.log("y")).otherwise(F.lit(0.0)))
-        data, (start, floor) = observed(data, "boosting", loss, best)
-        last, written = start, data
-        draw = random.Random(self.seed)
-        n = len(frame.names)
-        width = max(1, round(n * self.feature_share))
-        stages = []
-        for i in range(self.rounds):
-            mu = F.exp("F")
-            bag = key_fraction(keys, self.seed + i // self.row_period) < self.row_share
-            step = data.filter(bag) if self.row_share < 1 else data
-            step = step.withColumns({"mu": mu, "z": (F.col("y") - mu) / mu})
-            slicer = VectorSlicer(
-                inputCol="features",
-                outputCol=f"x_{i}",
-                indices=sorted(draw.sample(range(n), width)),
-            )
-            tree = DecisionTreeRegressor(
-                featuresCol=f"x_{i}",
-                labelCol="z",
-                weightCol="mu",
-                predictionCol=f"t_{i}",
-                maxDepth=self.max_depth,
-                minInstancesPerNode=self.min_leaf,
-                maxBins=frame.max_bins,
-                seed=self.seed + i,
-            ).fit(slicer.transform(step))
-            stages += [slicer, tree]
-            data = tree.transform(slicer.transform(data)).select(
-                *keys, "features", "y", (F.col("F") + self.rate * F.col(f"t_{i}")).alias("F")
-            )
-            if (i + 1) % self.cut_every == 0 and i + 1 < self.rounds:
-                before = written
-                data, (now,) = observed(data, "boosting", loss)
-                discard(before)
-                written = data
-                if self.tol > 0 and last - now < self.tol * (start - floor):
-                    break
-                last = now
-        return PoissonBoostModel(PipelineModel(stages), frame, base, self.rate)
+        stop = None
+        if self.tol > 0:
+            # half the Poisson deviance, without what the forecast does not change
+            y = F.col("y")
+            best = F.sum(F.when(y > 0, y - y * F.log(y)).otherwise(F.lit(0.0)))
+            stop = settled(self.tol, data.agg(best).first()[0] or 0.0)
+        boosting = Boosting(self.rounds, self.cut_every, stop=stop)
+        out = boosting.fit(data, [Member(Loss("poisson"), growth)], len(frame.names), frame.max_bins)
+        return PoissonBoostModel(out, frame)
 
 
 class PoissonBoostModel:
-    def __init__(self, trees: PipelineModel, frame: FeatureFrame, base: float, rate: float):
-        self.trees, self.frame, self.base, self.rate = trees, frame, base, rate
+    def __init__(self, boosted: Boosted, frame: FeatureFrame) -> None:
+        self.boosted, self.frame = boosted, frame
 
     def predict_mean(self, df: DataFrame, name: str = "predictions", rounds: int | None = None):
         """Expected count without limits, from all rounds or the first few."""
-        stages = self.trees.stages if rounds is None else self.trees.stages[: 2 * rounds]
-        scored = PipelineModel(stages).transform(self.frame.transform(df))
-        total = sum((F.col(f"t_{i}") for i in range(len(stages) // 2)), F.lit(0.0))
-        return scored.select(*cols(df.columns), F.exp(self.base + self.rate * total).alias(name))
+        scored = self.frame.transform(df, "__features")
+        score = self.boosted.score("__features", rounds)[0]
+        return scored.select(*cols(df.columns), F.exp(score).alias(name))
 
     def predict(self, df: DataFrame, name: str = "predictions") -> DataFrame:
         """Expected count, at least 5 and rounded to a whole number."""
         return self.predict_mean(df, name).withColumn(name, constrain_forecast(name))
 
+    def nodes(self, spark) -> DataFrame:
+        """The splits and leaves of all rounds as a table."""
+        return node_table(spark, self.boosted.trees)
+
+    def gains(self, spark) -> DataFrame:
+        """(feature, splits, gain): what the splits on each feature gained, over all rounds.
+
+        The gain of a split is G^2 / H of both sides less that of the whole (G the sum of gradients
+        after ``l1``, H of weights and ``l2``). Features never split on have 0.
+        """
+        names = spark.createDataFrame(list(enumerate(self.frame.names)), "feature int, name string")
+        found = self.nodes(spark).filter("feature >= 0").groupBy("feature")
+        found = found.agg(F.count("*").alias("splits"), F.sum("gain").alias("gain"))
+        return names.join(F.broadcast(found), "feature", "left").select(
+            F.col("name").alias("feature"), F.coalesce("splits", F.lit(0)).alias("splits"),
+            F.coalesce("gain", F.lit(0.0)).alias("gain"),
+        )
+
     def importance(self) -> dict[str, float]:
-        """Loss reduction by feature: normalised per round, added over the rounds."""
+        """Share of each round's gain by feature, added over the rounds."""
         out = dict.fromkeys(self.frame.names, 0.0)
-        for slicer, tree in zip(self.trees.stages[::2], self.trees.stages[1::2], strict=True):
-            gains = tree.featureImportances.toArray()
-            for place, index in enumerate(slicer.getIndices()):
-                out[self.frame.names[index]] += float(gains[place])
+        for side in self.boosted.trees:
+            total = sum(side[0].gain)
+            for feature, gain in zip(side[0].feature, side[0].gain):
+                if feature >= 0 and total > 0:
+                    out[self.frame.names[feature]] += gain / total
         return out
 
     def write(self, path: str, spark) -> None:
-        self.trees.write().overwrite().save(f"{path}/trees")
-        self.frame.write(f"{path}/frame", spark)
-        write_state(spark, path, json.dumps({"base": self.base, "rate": self.rate}))
+        with saving(spark, path) as part:
+            self.nodes(spark).write.parquet(f"{part}/nodes")
+            self.frame.write(f"{part}/frame", spark)
+            write_state(spark, part, json.dumps({"base": self.boosted.base}))
 
     @classmethod
     def read(cls, spark, path: str) -> PoissonBoostModel:
-        s = json.loads(read_state(spark, path))
-        trees = PipelineModel.load(f"{path}/trees")
-        return cls(trees, FeatureFrame.read(spark, f"{path}/frame"), s["base"], s["rate"])
+        part = saved(spark, path)
+        trees = read_nodes(spark.read.parquet(f"{part}/nodes"))
+        boosted = Boosted([], json.loads(read_state(spark, part))["base"], trees)
+        return cls(boosted, FeatureFrame.read(spark, f"{part}/frame"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -13,6 +15,8 @@ from threshcast.functions.columns import col
 from threshcast.operators.cleaning import fill_missing, fill_values
 from threshcast.operators.encoding import apply_codes, code_counts, fit_codes
 
+#: Files of a saved model: the one that names the current version, and the versions.
+MANIFEST, VERSION = "CURRENT", "version-"
 #: Bins a tree may cut each column into.
 MAX_BINS = 64
 
@@ -91,6 +95,54 @@ class FeatureFrame:
         return cls(s["numeric"], s["labels"], s["means"], codes, s["sizes"], s["max_bins"])
 
 
+def _files(spark, path: str):
+    """Hadoop's path and file system of a folder, local or not."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def saving(spark, path: str) -> Iterator[str]:
+    """A fresh folder below ``path`` for the parts of a model, made its current version at the end.
+
+    The manifest that names the version is written last, under another name, and moved into
+    place; until then readers see the version before, also when a writer stops half way. What
+    earlier versions and stopped writers left is deleted once the new version is current.
+    """
+    part = f"{path}/{VERSION}{uuid.uuid4().hex}"
+    yield part
+    at, files = _files(spark, path)
+    jvm = spark._jvm.org.apache.hadoop
+    fresh = jvm.fs.Path(f"{path}/_{uuid.uuid4().hex}")
+    out = files.create(fresh, True)
+    try:
+        out.write(bytearray(part.rsplit("/", 1)[1].encode()))
+    finally:
+        out.close()
+    context = jvm.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    option = getattr(jvm.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(option, 1)
+    over[0] = option.OVERWRITE
+    context.rename(fresh, jvm.fs.Path(f"{path}/{MANIFEST}"), over)
+    for found in files.listStatus(at):
+        name = found.getPath().getName()
+        if name.startswith(VERSION) and name != part.rsplit("/", 1)[1]:
+            files.delete(found.getPath(), True)
+
+
+def saved(spark, path: str) -> str:
+    """The folder of the current version of the model at ``path``."""
+    at, files = _files(spark, f"{path}/{MANIFEST}")
+    if not files.exists(at):
+        raise FileNotFoundError(f"no model at {path}")
+    source = files.open(at)
+    try:
+        name = bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+    return f"{path}/{name}"
+
+
 def write_state(spark, path: str, text: str) -> None:
     """One line of text, stored where the tables of a model are."""
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(

@@ -5,27 +5,33 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field, fields
-from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from threshcast.functions.columns import cols, constrain_forecast
 from threshcast.operators.cleaning import keep_first
 from threshcast.operators.factors import Factors, factorise, implicit_target_matrix, reconstruct
 from threshcast.operators.joins import equi_join
-from threshcast.operators.learning import FeatureFrame, read_state, write_state
+from threshcast.operators.learning import FeatureFrame, read_state, saved, saving, write_state
 from threshcast.operators.matrix import group_means
+from threshcast.operators.trees import leaf_means
 from threshcast.session import broadcast_if_small, discard, observed
 
 
 class FactorForest:
-    """One forest per latent part, all trained on one shared table of feature vectors."""
+    """One forest for all latent parts: a leaf holds the mean vector of the rows that reach it.
 
-    def __init__(self, models: list[RandomForestRegressionModel], frame: FeatureFrame) -> None:
-        self.models, self.frame = models, frame
+    Trees are split on the direction in which the vectors vary most (first principal axis of
+    their covariance); the leaf table comes from one grouped aggregation by tree and leaf. It is
+    part of the model: trees x leaves x parts numbers, whatever the data.
+    """
+
+    def __init__(self, forest: RandomForestRegressionModel, lookup: np.ndarray, frame: FeatureFrame) -> None:
+        self.forest, self.lookup, self.frame = forest, lookup, frame
 
     @classmethod
     def fit(
@@ -38,46 +44,56 @@ class FactorForest:
         max_depth: int,
         seed: int,
     ) -> FactorForest:
-        data = frame.transform(features).select(
-            "features", *[F.col(parts)[j].alias(f"y{j}") for j in range(rank)]
+        y = [F.col(f"y{j}") for j in range(rank)]
+        data = frame.transform(features, "__features").select(
+            F.col("__features").alias("features"), *[F.col(parts)[j].cast("double").alias(f"y{j}") for j in range(rank)]
         )
         data, _ = observed(data, "factor-rows")
-
-        def one(j: int) -> RandomForestRegressionModel:
-            return RandomForestRegressor(
-                featuresCol="features",
-                labelCol=f"y{j}",
-                predictionCol=f"p{j}",
-                numTrees=trees,
-                maxDepth=max_depth,
-                maxBins=frame.max_bins,
-                seed=seed + j,
-            ).fit(data)
-
-        # the forests are independent and small, so their jobs are submitted side by side
-        with ThreadPool(min(rank, 4)) as pool:
-            models = pool.map(inheritable_thread_target(data.sparkSession)(one), range(rank))
+        pairs = [(i, j) for i in range(rank) for j in range(i + 1)]
+        found = data.agg(*[F.covar_pop(y[i], y[j]) for i, j in pairs]).first()
+        spread = np.zeros((rank, rank))
+        for (i, j), c in zip(pairs, found, strict=True):
+            spread[i, j] = spread[j, i] = c or 0.0
+        axis = np.linalg.eigh(spread)[1][:, -1]
+        axis = axis * np.sign(axis[np.argmax(np.abs(axis))])
+        along = sum((y[j] * float(a) for j, a in enumerate(axis)), F.lit(0.0))
+        forest = RandomForestRegressor(
+            featuresCol="features",
+            labelCol="__along",
+            leafCol="leaves",
+            numTrees=trees,
+            maxDepth=max_depth,
+            maxBins=frame.max_bins,
+            seed=seed,
+        ).fit(data.withColumn("__along", along))
+        leaves = forest.transform(data).select(
+            *[f"y{j}" for j in range(rank)], F.posexplode(vector_to_array("leaves")).alias("tree", "leaf")
+        )
+        rows = leaves.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(
+            F.array(*[F.avg(c) for c in y]).alias("mean")
+        ).collect()
         discard(data)
-        return cls(models, frame)
+        lookup = np.zeros((trees, 1 + max(r["leaf"] for r in rows), rank))
+        for r in rows:
+            lookup[r["tree"], r["leaf"]] = r["mean"]
+        return cls(forest, lookup, frame)
 
     def predict(self, features: DataFrame, name: str) -> DataFrame:
-        scored = self.frame.transform(features)
-        for m in self.models:
-            scored = m.transform(scored)
-        parts = F.array(*[F.col(f"p{j}") for j in range(len(self.models))])
-        return scored.select(*cols(features.columns), parts.alias(name))
+        scored = self.forest.transform(self.frame.transform(features))
+        return scored.select(*cols(features.columns), leaf_means(self.lookup, "leaves").alias(name))
 
     def write(self, path: str, spark) -> None:
-        for j, m in enumerate(self.models):
-            m.write().overwrite().save(f"{path}/part_{j}")
-        self.frame.write(f"{path}/frame", spark)
-        write_state(spark, path, json.dumps({"rank": len(self.models)}))
+        with saving(spark, path) as part:
+            self.forest.write().save(f"{part}/forest")
+            self.frame.write(f"{part}/frame", spark)
+            write_state(spark, part, json.dumps({"lookup": self.lookup.tolist()}))
 
     @classmethod
     def read(cls, spark, path: str) -> FactorForest:
-        rank = json.loads(read_state(spark, path))["rank"]
-        models = [RandomForestRegressionModel.load(f"{path}/part_{j}") for j in range(rank)]
-        return cls(models, FeatureFrame.read(spark, f"{path}/frame"))
+        part = saved(spark, path)
+        lookup = np.array(json.loads(read_state(spark, part))["lookup"])
+        forest = RandomForestRegressionModel.load(f"{part}/forest")
+        return cls(forest, lookup, FeatureFrame.read(spark, f"{part}/frame"))
 
 
 @dataclass
@@ -165,20 +181,20 @@ class MatrixForecasterModel:
 
     def write(self, path: str, spark) -> None:
         s = self.settings
-        self.factors.write(f"{path}/factors")
-        self.temporal.write(f"{path}/temporal", spark)
-        self.spatial.write(f"{path}/spatial", spark)
         state = {f.name: getattr(s, f.name) for f in fields(s)}
-        write_state(
-            spark, path, json.dumps({k: list(v) if isinstance(v, tuple) else v for k, v in state.items()})
-        )
+        state = {k: list(v) if isinstance(v, tuple) else v for k, v in state.items()}
+        with saving(spark, path) as part:
+            self.factors.write(f"{part}/factors")
+            self.temporal.write(f"{part}/temporal", spark)
+            self.spatial.write(f"{part}/spatial", spark)
+            write_state(spark, part, json.dumps(state))
 
     @classmethod
     def read(cls, spark, path: str) -> MatrixForecasterModel:
-        settings = MatrixForecaster(**json.loads(read_state(spark, path)))
+        part = saved(spark, path)
         return cls(
-            settings,
-            Factors.read(spark, f"{path}/factors"),
-            FactorForest.read(spark, f"{path}/temporal"),
-            FactorForest.read(spark, f"{path}/spatial"),
+            MatrixForecaster(**json.loads(read_state(spark, part))),
+            Factors.read(spark, f"{part}/factors"),
+            FactorForest.read(spark, f"{part}/temporal"),
+            FactorForest.read(spark, f"{part}/spatial"),
         )

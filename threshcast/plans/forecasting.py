@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -28,10 +29,12 @@ from threshcast.operators.cleaning import (
 from threshcast.operators.conformal import apply_shift, conformal_shift
 from threshcast.operators.features import engineer_features
 from threshcast.operators.folds import Period, fold_tables, nested_fold_tables
-from threshcast.operators.learning import FeatureFrame, read_state, write_state
+from threshcast.operators.learning import FeatureFrame, read_state, saved, saving, write_state
 from threshcast.operators.matrix_model import MatrixForecaster
 from threshcast.operators.quantiles import (
     MetaLearner,
+    PinballBoost,
+    PinballBoostModel,
     QuantileForest,
     QuantileForestModel,
     constrain,
@@ -129,7 +132,7 @@ class QuantileForecaster:
     """
 
     layout: Layout = field(default_factory=Layout)
-    forest: QuantileForest = field(default_factory=QuantileForest)
+    forest: QuantileForest | PinballBoost = field(default_factory=QuantileForest)
     alpha: float = 0.10
     calibration_share: float = 0.2
     meta: bool = False
@@ -140,7 +143,7 @@ class QuantileForecaster:
         lay, share = self.layout, self.calibration_share
         frame = FeatureFrame.fit(df, *lay.feature_columns(df))
         draw = key_fraction(lay.keys, self.seed)
-        fitted = self.forest.fit(df.filter(draw >= share) if share else df, frame, lay.target)
+        fitted = self.forest.fit(df.filter(draw >= share) if share else df, frame, lay.target, lay.keys)
         columns = [level_column(q) for q in fitted.levels]
         shift = None
         if share:
@@ -163,7 +166,7 @@ class QuantileForecaster:
 class QuantileForecasterModel:
     def __init__(
         self,
-        forest: QuantileForestModel,
+        forest: QuantileForestModel | PinballBoostModel,
         columns: list[str],
         upper: str,
         shift: float | None,
@@ -184,27 +187,21 @@ class QuantileForecasterModel:
         return out.withColumn("predictions", F.col("__point")).drop("__point")
 
     def write(self, path: str, spark) -> None:
-        import json
-
-        self.forest.write(f"{path}/forest", spark)
-        state = {"columns": self.columns, "upper": self.upper, "shift": self.shift}
-        write_state(spark, path, json.dumps({**state, "meta": self.meta is not None}))
-        if self.meta is not None:
-            self.meta.model.write().overwrite().save(f"{path}/meta")
+        with saving(spark, path) as part:
+            self.forest.write(f"{part}/forest", spark)
+            if self.meta is not None:
+                self.meta.write(f"{part}/meta", spark)
+            state = {"columns": self.columns, "upper": self.upper, "shift": self.shift}
+            state |= {"meta": self.meta is not None, "boosted": isinstance(self.forest, PinballBoostModel)}
+            write_state(spark, part, json.dumps(state))
 
     @classmethod
     def read(cls, spark, path: str) -> QuantileForecasterModel:
-        import json
-
-        from pyspark.ml.regression import GBTRegressionModel
-
-        s = json.loads(read_state(spark, path))
-        meta = None
-        if s["meta"]:
-            meta = MetaLearner(s["columns"])
-            meta.model = GBTRegressionModel.load(f"{path}/meta")
-        forest = QuantileForestModel.read(spark, f"{path}/forest")
-        return cls(forest, s["columns"], s["upper"], s["shift"], meta)
+        part = saved(spark, path)
+        s = json.loads(read_state(spark, part))
+        kind = PinballBoostModel if s["boosted"] else QuantileForestModel
+        meta = MetaLearner.read(spark, f"{part}/meta") if s["meta"] else None
+        return cls(kind.read(spark, f"{part}/forest"), s["columns"], s["upper"], s["shift"], meta)
 
 
 # -- evaluation ----------------------------------------------------------------------------
