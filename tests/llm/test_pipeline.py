@@ -3,9 +3,9 @@ import zlib
 
 import numpy as np
 from helpers import DATA, documents, folder
+from test_near_texts import plain_groups
 from test_packing import check_places
 from test_secrets import plain_spans
-from test_simhash import plain_fingerprint, plain_groups
 from test_suffixes import plain_cut
 from tokenizers import Tokenizer
 
@@ -25,7 +25,7 @@ def test_stages_equal_brute_force(spark):
     source, told, single, cut, clean = rows
     assert set(told) <= set(source) and len(told) >= 0.98 * len(source)
 
-    root = plain_groups([plain_fingerprint(r[1]) for r in told])
+    root = plain_groups([r[1] for r in told])
     assert single == [r for i, r in enumerate(told) if root[i] == i] and len(single) < len(told)
 
     kept = plain_cut([(r[0], r[1]) for r in single], 100)

@@ -98,10 +98,12 @@ class Group:
 
     def __init__(self, t: pa.Table):
         release()
-        t = t.set_column(t.schema.get_field_index("_text"), "_text", pc.fill_null(t["_text"], ""))
+        present, at = pc.is_valid(t["_text"]), t.schema.get_field_index("_text")
+        t = t.set_column(at, "_text", pc.fill_null(t["_text"], ""))
         order = pc.sort_indices(t, [("_id", "ascending"), ("_text", "ascending")], null_placement="at_end")
-        self.table = t.take(order)
-        texts = self.table["_text"].cast(pa.large_string()).combine_chunks()
+        texts = t["_text"].take(order).cast(pa.large_string()).combine_chunks()
+        self.present = present.take(order).to_pylist()
+        self.table = t.remove_column(at).take(order)
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -385,12 +387,13 @@ def cut_texts(group: Group, doc, start, end):
 
 
 def cut_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text",
-                keep: tuple[str, ...] = ()) -> DataFrame:
+                keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) and the columns ``keep`` of every row.
 
     Every byte covered by a ``window``-byte string that also starts earlier (smaller id, or same
     document and earlier start) goes; overlaps count, strings never cross documents and are
-    judged on the input. ``kept`` holds the remaining bytes. Null text counts as empty. Rows of
+    judged on the input. ``kept`` holds the remaining bytes; ``as_text`` gives them as text, without
+    what is left of characters whose bytes went in part, and null for a null. Null text counts as empty. Rows of
     a repeated id are separate documents, ordered by text; rows without an id come last. An
     empty table gives no rows. Columns in ``keep`` come back as ``keep_<name>`` so that their
     names never clash; other columns are not read. One exchange of the texts by group serves
@@ -460,8 +463,9 @@ def cut_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text
     result = T.StructType([
         T.StructField("doc_id", T.LongType()), *fields, T.StructField("n_bytes", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
-        T.StructField("kept", T.BinaryType()),
+        T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
     ])
+    kept_type = pa.string() if as_text else pa.binary()
 
     def cut(t, spans):
         parts = [unpacked(x) for x in spans["spans"].to_pylist()]
@@ -470,14 +474,16 @@ def cut_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text
         if not t.num_rows:
             empty = {f.name: pa.array([], pa.null()) for f in result.fields}
             empty |= {f"keep_{c}": t[f"keep_{c}"] for c in keep}
-            typed = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
+            typed = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": kept_type}
             return pa.table({k: pa.array([], typed[k]) if k in typed else v for k, v in empty.items()})
         g = Group(t)
         removed, count, kept = cut_texts(g, doc, start, end)
+        if as_text:
+            kept = [k.decode("utf-8", "ignore") if there else None for k, there in zip(kept, g.present)]
         return pa.table({
             "doc_id": g.table["_id"], **{f"keep_{c}": g.table[f"keep_{c}"] for c in keep},
             "n_bytes": pa.array(g.ends - g.starts), "n_removed": pa.array(removed.astype(np.int64)),
-            "n_spans": pa.array(count.astype(np.int64)), "kept": pa.array(kept, pa.binary()),
+            "n_spans": pa.array(count.astype(np.int64)), "kept": pa.array(kept, kept_type),
         })
 
     proposed = by_group.applyInArrow(propose, "bucket long, _g long, blob binary")
@@ -492,27 +498,22 @@ def with_kept_text(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
     """``docs`` with repeats cut out of the text and the length column brought up to date.
 
     Of a character whose bytes went in part the rest goes too. A row whose text was null or
-    untouched keeps it as it is.
+    untouched keeps it as it is; ties, repeated and missing ids and very long texts as in
+    ``cut_repeats``. An empty table gives no rows. All columns of ``docs`` come back in their
+    order; the text is exchanged once.
     """
-    columns = tuple(docs.columns)
-
-    def repaired(batches):
-        for batch in batches:
-            text = [k.decode("utf-8", "ignore") for k in batch["kept"].to_pylist()]
-            yield batch.drop_columns(["kept"]).append_column("kept", pa.array(text, pa.string()))
-
-    cut = cut_repeats(docs, window, id_col, text_col, keep=columns)
-    schema = T.StructType([f if f.name != "kept" else T.StructField("kept", T.StringType()) for f in cut.schema])
-    cut = cut.mapInArrow(repaired, schema)
-    changed = F.col("n_removed") > 0
-    out = []
-    for c in columns:
-        old = F.col(f"`keep_{c}`")
+    others = tuple(c for c in docs.columns if c != text_col)
+    cut = cut_repeats(docs, window, id_col, text_col, keep=others, as_text=True)
+    changed, out = F.col("n_removed") > 0, []
+    for c in docs.columns:
         if c == text_col:
-            old = F.when(changed, F.col("kept")).otherwise(old)
+            new = F.col("kept")
         elif c == length_col:
-            old = F.when(changed, F.length("kept").cast(docs.schema[c].dataType)).otherwise(old)
-        out.append(old.alias(c))
+            length = F.length("kept").cast(docs.schema[c].dataType)
+            new = F.when(changed, length).otherwise(F.col(f"`keep_{c}`"))
+        else:
+            new = F.col(f"`keep_{c}`")
+        out.append(new.alias(c))
     return cut.select(*out)
 
 
