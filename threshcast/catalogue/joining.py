@@ -11,6 +11,7 @@ from threshcast.operators.folds import (
     parse_periods,
     split_by_key,
 )
+from threshcast.operators.intervals import count_covering
 from threshcast.operators.joins import (
     align,
     anti_members,
@@ -261,3 +262,38 @@ def hash_split(spark, folder):
     """Hold-out split by hash of the key: shares per role."""
     out = split_by_key(table(spark, folder, "orders"), ["o_orderkey"], 0.8, 42)
     return out.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SPANS = """s AS (SELECT event_type AS season, ts AS opens, ts + to_minutes(CAST(pow(1 + event_id % 11, 6) AS BIGINT)) AS closes
+  FROM events WHERE event_id % 40 = 0)"""
+
+
+def _spans(spark, folder):
+    """Overlapping intervals of a minute to three years."""
+    minutes = "cast(pow(1 + event_id % 11, 6) as int)"
+    events = table(spark, folder, "events").filter("event_id % 40 = 0")
+    return events.selectExpr("event_type as season", "ts as opens", f"timestampadd(MINUTE, {minutes}, ts) as closes")
+
+
+@query(
+    "WITH "
+    + _SPANS
+    + """ SELECT event_id, ts, count(opens) AS covering FROM events LEFT JOIN s ON ts BETWEEN opens AND closes GROUP BY event_id, ts"""
+)
+def interval_counts(spark, folder):
+    """How many intervals hold each row's time."""
+    rows = table(spark, folder, "events").select("event_id", "ts")
+    return count_covering(rows, _spans(spark, folder), "ts", "opens", "closes")
+
+
+@query(
+    "WITH "
+    + _SPANS
+    + """ SELECT event_id, event_type AS season, count(opens) AS covering FROM events LEFT JOIN s
+  ON ts BETWEEN opens AND closes AND season = event_type GROUP BY event_id, event_type"""
+)
+def interval_counts_by_key(spark, folder):
+    """The same for intervals of the row's own season, over many small time ranges."""
+    rows = table(spark, folder, "events").selectExpr("event_id", "event_type as season", "ts")
+    spans = _spans(spark, folder)
+    return count_covering(rows, spans, "ts", "opens", "closes", ["season"], range_rows=100).drop("ts")
