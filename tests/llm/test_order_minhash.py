@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import xxhash
 from helpers import DATA, documents
 
 from threshcast.llm import order_minhash, queries
@@ -44,6 +45,23 @@ def plain_likeness(a, b):
     return len(a & b) / max(len(a), len(b)) if a or b else 1.0
 
 
+def plain_pieces(text):
+    out = []
+    for run in re.findall("[^\x20\x09-\x0d]{1,4096}", text):
+        if len(run) <= 12:
+            out.append(run)
+            continue
+        piece = ""
+        for i, c in enumerate(run):
+            piece += c
+            seed = xxhash.xxh64_intdigest(run[i - 1].encode(), 42) if i else 42
+            if len(piece) == 12 or xxhash.xxh64_intdigest(c.encode(), seed) % 4 == 0:
+                out.append(piece)
+                piece = ""
+        out += [piece] if piece else []
+    return out
+
+
 def signatures(spark, texts):
     df = documents(spark, texts)
     return {r.doc_id: r.sig for r in order_minhash.with_signature(df, "text", "sig").select("doc_id", "sig").collect()}
@@ -54,12 +72,14 @@ def test_steps_equal_plain_steps(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choices("ab c dd eee".split(), k=rng.randint(0, 80))) for _ in range(20)]
     texts += [" ".join(f"w{rng.randrange(400)}" for _ in range(500)), "same " * 700, "x" * 50_000, "", "one"]
+    texts += ["".join(rng.choices("你好abcÜ🙂", k=6000)), "abcdefghijklm nopqrstuvwxyzabcdefghij"]
     df = documents(spark, texts)
     got = df.select("doc_id", "text", order_minhash.pieces_of(df.text).alias("p"))
     got = got.withColumn("g", order_minhash.grams(got.p))
     got = got.withColumn("n", order_minhash.numbered(got.g))
     for r in got.collect():
-        pieces = re.findall("[^\x20\x09-\x0d]{1,12}", r.text)
+        pieces = plain_pieces(r.text)
+        assert r.p == pieces
         assert len(r.g) == (len(pieces) if len(pieces) < 2 else len(pieces) - 1)
         at = {x & (1 << 24) - 1: x >> 24 for x in r.g}
         count, copies = {}, {}
@@ -99,3 +119,26 @@ def test_odd_rows(spark):
     one = order_minhash.compare_edited(df.where("doc_id = 3")).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"b b").hexdigest()
     assert order_minhash.compare_edited(df.limit(0)).collect() == []
+
+
+def test_texts_without_blanks(spark):
+    """A character put in moves the pieces around it only; the boundaries are those of the content."""
+    rng = random.Random(9)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000))
+    code = "".join(rng.choices("abcdef0123456789+/=", k=9000))
+    texts = []
+    for text in (han, code):
+        texts += [text, "X" + text, text[:1500] + "的" + text[1500:], text[:700] + text[701:]]
+    found = signatures(spark, texts)
+    for low in (0, 4):
+        for i in range(1, 4):
+            a, b = set(found[low]), set(found[low + i])
+            assert len(a & b) / max(len(a), len(b)) > 0.8
+    assert not set(found[0]) & set(found[4])
+
+
+def test_step_names_never_clash(spark):
+    df = documents(spark, ["a b c", None]).selectExpr("*", "1 as _step0", "2 as _pieces", "3 as _STEP2")
+    out = order_minhash.with_signature(df, "text", "sig")
+    assert out.columns == [*df.columns, "sig"]
+    assert {(r._step0, r._pieces) for r in out.collect()} == {(1, 2)}

@@ -10,6 +10,9 @@ from threshcast.llm.base import stored
 
 #: A text is read as pieces of words, at most this many characters each.
 PIECE = 12
+#: Of two neighbouring characters in a longer run one in so many ends a piece; runs are looked at
+#: in parts of so many characters.
+_ENDS, _RUN = 4, 4096
 #: Bits of a piece's place in the text, and of the bucket number.
 _PLACE, _BUCKET = 24, 6
 _REST = 63 - _BUCKET - _PLACE
@@ -21,17 +24,32 @@ def _low(x: Column, bits: int) -> Column:
 
 
 def pieces_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"[^\\x20\\x09-\\x0D]{{1,{PIECE}}}"), F.lit(0))
+    """Words, and the pieces of longer runs. A piece of a run ends where a hash of the last two
+    characters says so, or after ``PIECE`` characters, so an inserted character changes the pieces
+    around it and no others, also in texts without blanks."""
+    whole = F.regexp_extract_all(text, F.lit(f"[^\\x20\\x09-\\x0D]{{1,{_RUN}}}"), F.lit(0))
+
+    def cut(run: Column) -> Column:
+        def marked(chars: Column) -> Column:
+            ends = lambda c, i: F.pmod(F.xxhash64(F.get(chars, i - 1), c), F.lit(_ENDS)) == 0
+            return F.array_join(F.transform(chars, lambda c, i: F.when(ends(c, i), F.concat(c, F.lit(" "))).otherwise(c)), "")
+
+        # the characters are split once and bound to a name
+        spaced = F.get(F.transform(F.array(F.split(run, "")), marked), F.lit(0))
+        return F.regexp_extract_all(spaced, F.lit(f"[^\\x20]{{1,{PIECE}}}"), F.lit(0))
+
+    return F.flatten(F.transform(whole, lambda w: F.when(F.length(w) > PIECE, cut(w)).otherwise(F.array(w))))
 
 
 def grams(pieces: Column) -> Column:
-    """Sorted numbers (hash of two neighbouring pieces, place) of a text; one piece stands alone."""
+    """Sorted numbers (hash of two neighbouring pieces, place) of a text; one piece stands alone.
+    Pieces behind the first 16.7 million share the last place: no order is kept among them."""
     heads = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(1)))
     return F.sort_array(
         F.transform(
             heads,
             lambda p, i: F.shiftleft(_low(F.xxhash64(p, F.get(pieces, i + 1)), 39), _PLACE).bitwiseOR(
-                _low(i.cast("long"), _PLACE)
+                F.least(i.cast("long"), F.lit((1 << _PLACE) - 1))
             ),
         )
     )
@@ -96,12 +114,16 @@ def tuples(ordered: Column) -> Column:
 def with_signature(df: DataFrame, text_col: str, into: str) -> DataFrame:
     """``df`` with the signature (array of int) of a text column; null text counts as empty.
 
-    Each step is a column of its own, as steps look at neighbours in the array before them.
+    Each step is a column of its own, as steps look at neighbours in the array before them; their
+    names are none of ``df``'s.
     """
-    out = df.withColumn("_pieces", pieces_of(F.coalesce(F.col(text_col), F.lit(""))))
-    out = out.withColumn("_grams", grams(F.col("_pieces"))).withColumn("_numbers", numbered(F.col("_grams")))
-    out = out.withColumn("_picked", picked(F.col("_numbers"))).withColumn(into, tuples(F.col("_picked")))
-    return out.drop("_pieces", "_grams", "_numbers", "_picked")
+    taken = {c.lower() for c in (*df.columns, into)}
+    free = (f"_step{i}" for i in range(len(taken) + 4) if f"_step{i}" not in taken)
+    pieces, by_gram, by_number, least = (next(free) for _ in range(4))
+    out = df.withColumn(pieces, pieces_of(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    out = out.withColumn(by_gram, grams(F.col(pieces))).withColumn(by_number, numbered(F.col(by_gram)))
+    out = out.withColumn(least, picked(F.col(by_number))).withColumn(into, tuples(F.col(least)))
+    return out.drop(pieces, by_gram, by_number, least)
 
 
 def as_text(sig: Column) -> Column:
