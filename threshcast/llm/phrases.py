@@ -30,7 +30,7 @@ from threshcast.llm.base import forget, small_batches, stored
 from threshcast.llm.remember import release
 
 #: Bytes of text of one shard, and of the part of the corpus whose n-grams make one prefix range.
-SHARD_BYTES, RANGE_BYTES = 12 << 20, 12 << 20
+SHARD_BYTES, RANGE_BYTES = 8 << 20, 12 << 20
 #: Requests that one copy of a range answers.
 REQUESTS = 400_000
 #: Documents of the sample that the ranges are taken from, and its n-grams for each range.
@@ -417,6 +417,9 @@ def _count(docs: DataFrame, cuts: dict[str, list[tuple]], longest: int, least: i
         )
 
     made = docs.mapInArrow(shards, "lang string, range int, blob binary")
+    # a partition for about each range, so that a task unites few of them however many there are
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = made.repartition(max(tasks, 2 * sum(len(c) + 1 for c in cuts.values())), "lang", "range")
     return made.groupBy("lang", "range").applyInArrow(unite, _GRAMS)
 
 
