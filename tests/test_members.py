@@ -215,3 +215,13 @@ def test_intervals_by_pairs(spark, range_rows):
     assert {r.HOLIDAY_FLAG for r in flags.collect()} == {0} and flags.count() == len(rows)
     with pytest.raises(ValueError):
         count_covering(df, table, "t", "s", "e", name="id")
+
+
+def test_frames_of_all_folds_from_one_scan(table):
+    rows = table.withColumn("a", F.when(F.col("id") % 9 != 0, F.col("a"))).withColumn("t", F.when(F.col("id") % 50 != 1, F.col("t")))
+    starts = [datetime.datetime(2021, 9, 1), datetime.datetime(2021, 3, 1), datetime.datetime(2020, 1, 1)]
+    for start, got in zip(starts, FeatureFrame.fit_before(rows, "t", starts, ["a", "b"], ["site"])):
+        past = rows.filter(F.col("t") < F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz"))
+        want = FeatureFrame.fit(past, ["a", "b"], ["site"])
+        assert got.means == pytest.approx(want.means) and got.sizes == want.sizes
+        assert sorted(map(tuple, got.codes.select("column", "label", "code").collect())) == sorted(map(tuple, want.codes.select("column", "label", "code").collect()))

@@ -21,11 +21,18 @@ def fit_codes(
     Few labels are ranked per column; many are ranked by a range-partitioned sort.
     """
     columns = text_columns(df) if columns is None else list(columns)
-    labels = cut(
-        df.select(*[label_text(c).alias(c) for c in columns])
-        .unpivot([], columns, "column", "label")
-        .distinct()
+    return ranked_labels(cut(labels_of(df, columns).distinct()), sort_rows)
+
+
+def labels_of(df: DataFrame, columns: Sequence[str], *more: str) -> DataFrame:
+    """(more, column, label): one row for each cell of the columns."""
+    return df.select(*more, *[label_text(c).alias(c) for c in columns]).unpivot(
+        list(more), list(columns), "column", "label"
     )
+
+
+def ranked_labels(labels: DataFrame, sort_rows: int = SORT_ROWS) -> DataFrame:
+    """(column, label, code) of different (column, label)."""
     if fits(labels, sort_rows):
         w = Window.partitionBy("column").orderBy("label")
         return labels.withColumn("code", (F.row_number().over(w) - 1).cast("long"))

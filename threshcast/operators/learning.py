@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import uuid
 from collections.abc import Iterator, Sequence
@@ -13,7 +14,14 @@ from pyspark.sql import functions as F
 
 from threshcast.functions.columns import col
 from threshcast.operators.cleaning import fill_missing, fill_values
-from threshcast.operators.encoding import apply_codes, code_counts, fit_codes
+from threshcast.operators.encoding import (
+    apply_codes,
+    code_counts,
+    fit_codes,
+    labels_of,
+    ranked_labels,
+)
+from threshcast.session import cut
 
 #: Files of a saved model: the one that names the current version, and the versions.
 MANIFEST, VERSION = "CURRENT", "version-"
@@ -56,6 +64,49 @@ class FeatureFrame:
         codes = fit_codes(df, list(labels))
         return cls(numeric, labels, means, codes, code_counts(codes), max_bins)
 
+    @classmethod
+    def fit_before(
+        cls,
+        df: DataFrame,
+        time: str,
+        starts: Sequence[datetime.datetime],
+        numeric: Sequence[str],
+        labels: Sequence[str] = (),
+        max_bins: int = MAX_BINS,
+    ) -> list[FeatureFrame]:
+        """For each start what ``fit`` gives on the rows before it, for all starts from one scan of
+        the numbers and one of the labels.
+
+        The starts cut time into slices. Sums and counts of numbers are taken by slice and added
+        up to each start; of a label the first slice that has it is kept. Rows without a time are
+        before no start.
+        """
+        order = sorted(set(starts))
+        bounds = [F.lit(s.isoformat(sep=" ")).cast("timestamp_ntz") for s in order]
+        at = sum((F.when(col(time) >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+        past = df.filter(col(time) < bounds[-1]).withColumn("__slice", at)
+        sums = []
+        for i, c in enumerate(numeric):
+            sums += [F.sum(col(c).cast("double")).alias(f"s{i}"), F.count(col(c)).alias(f"n{i}")]
+        found = past.groupBy("__slice").agg(F.count(F.lit(1)).alias("rows"), *sums).collect()
+        first = None
+        if labels:
+            seen = labels_of(past, list(labels), "__slice").groupBy("column", "label")
+            first = cut(seen.agg(F.min("__slice").alias("__slice")))
+        frames = {}
+        for i, start in enumerate(order):
+            before = [r for r in found if r["__slice"] <= i]
+            means = {}
+            for k, c in enumerate(numeric):
+                n = sum(r[f"n{k}"] for r in before)
+                means[c] = sum(r[f"s{k}"] or 0.0 for r in before) / n if n else 0.0
+            codes, sizes = None, {}
+            if first is not None:
+                codes = cut(ranked_labels(first.filter(F.col("__slice") <= i).select("column", "label")))
+                sizes = code_counts(codes)
+            frames[start] = cls(numeric, labels, means, codes, sizes, max_bins)
+        return [frames[s] for s in starts]
+
     @property
     def names(self) -> list[str]:
         return [*self.numeric, *self.labels]

@@ -6,11 +6,15 @@ import json
 import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from inspect import signature
+from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from threshcast.functions.columns import col, key_fraction
 from threshcast.functions.fixed_values import (
@@ -91,8 +95,8 @@ class PoissonForecaster:
     layout: Layout = field(default_factory=Layout)
     settings: PoissonBoost = field(default_factory=PoissonBoost)
 
-    def fit(self, df: DataFrame):
-        frame = FeatureFrame.fit(df, *self.layout.feature_columns(df))
+    def fit(self, df: DataFrame, frame: FeatureFrame | None = None):
+        frame = frame or FeatureFrame.fit(df, *self.layout.feature_columns(df))
         return self.settings.fit(df, frame, self.layout.target, self.layout.keys)
 
 
@@ -101,8 +105,8 @@ class BaselineForecaster:
     settings: object
     layout: Layout = field(default_factory=Layout)
 
-    def fit(self, df: DataFrame):
-        frame = FeatureFrame.fit(df, *self.layout.feature_columns(df))
+    def fit(self, df: DataFrame, frame: FeatureFrame | None = None):
+        frame = frame or FeatureFrame.fit(df, *self.layout.feature_columns(df))
         return self.settings.fit(df, frame, self.layout.target)
 
 
@@ -139,9 +143,9 @@ class QuantileForecaster:
     meta_options: dict = field(default_factory=dict)
     seed: int = 42
 
-    def fit(self, df: DataFrame) -> QuantileForecasterModel:
+    def fit(self, df: DataFrame, frame: FeatureFrame | None = None) -> QuantileForecasterModel:
         lay, share = self.layout, self.calibration_share
-        frame = FeatureFrame.fit(df, *lay.feature_columns(df))
+        frame = frame or FeatureFrame.fit(df, *lay.feature_columns(df))
         draw = key_fraction(lay.keys, self.seed)
         fitted = self.forest.fit(df.filter(draw >= share) if share else df, frame, lay.target, lay.keys)
         columns = [level_column(q) for q in fitted.levels]
@@ -215,23 +219,40 @@ def fold_forecasts(
     untested: Sequence[str] = UNTESTED_SITES,
     nested: bool = False,
     with_train: bool = True,
+    at_once: int = 3,
 ) -> DataFrame:
     """Fit per fold on what lies before it and forecast: (keys, target, predictions, q_...,
     dataset, fold).
 
     ``maker`` turns the training rows into forecaster settings. Nested folds are trained on
-    the training and validation parts together and only tested. The loop is over folds, for
-    fitting; the forecasts form one lazy union.
+    the training and validation parts together and only tested. Windows expand, so fill values
+    and label codes of all folds are added up from slices of time (``FeatureFrame.fit_before``),
+    for forecasters whose ``fit`` takes them; folds are then fitted ``at_once`` side by side. The
+    forecasts form one lazy union.
     """
-    parts = []
-    for p in periods:
+    frames: dict[str, FeatureFrame] = {}
+
+    def prepared() -> dict[str, FeatureFrame]:
+        with lock:
+            if not frames:
+                found = FeatureFrame.fit_before(
+                    df, layout.time, [p.start for p in periods], *layout.feature_columns(df)
+                )
+                frames.update(zip([p.fold for p in periods], found, strict=True))
+        return frames
+
+    def fitted(p: Period) -> list[DataFrame]:
+        df.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", p.fold)
         if nested:
             train, validation, test = nested_fold_tables(df, p, layout.time)
             train = train.unionByName(validation)
         else:
             train, test = fold_tables(df, p, layout.time, layout.site, untested)
-        model = maker(train).fit(train)
+        forecaster = maker(train)
+        takes = "frame" in signature(forecaster.fit).parameters
+        model = forecaster.fit(train, frame=prepared()[p.fold]) if takes else forecaster.fit(train)
         sets = {"test": test} if nested or not with_train else {"test": test, "train": train}
+        parts = []
         for name, rows in sets.items():
             forecast = model.predict(rows)
             shown = [c for c in forecast.columns if c.startswith("q_") or c == "predictions"]
@@ -244,6 +265,12 @@ def fold_forecasts(
                     F.lit(p.fold).alias("fold"),
                 )
             )
+        return parts
+
+    lock = Lock()
+    with ThreadPool(max(1, min(at_once, len(periods)))) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(fitted), list(periods))
+    parts = [part for side in found for part in side]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

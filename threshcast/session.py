@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +34,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SET: dict[str, tuple[int, str | None]] = {}
+_SET_LOCK = Lock()
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: object) -> Iterator[None]:
-    """Session settings (underscores for dots) for the time of a block."""
+    """Session settings (underscores for dots) for the time of a block.
+
+    Blocks of several threads may overlap: what was set before the first comes back after the last.
+    """
     names = {k: k.replace("_", ".") for k in values}
-    before = {k: spark.conf.get(n, None) for k, n in names.items()}
-    try:
+    with _SET_LOCK:
         for k, n in names.items():
+            blocks, before = _SET.get(n, (0, spark.conf.get(n, None)))
+            _SET[n] = (blocks + 1, before)
             spark.conf.set(n, str(values[k]))
+    try:
         yield
     finally:
-        for k, n in names.items():
-            spark.conf.unset(n) if before[k] is None else spark.conf.set(n, before[k])
+        with _SET_LOCK:
+            for n in names.values():
+                blocks, before = _SET.pop(n)
+                if blocks > 1:
+                    _SET[n] = (blocks - 1, before)
+                elif before is None:
+                    spark.conf.unset(n)
+                else:
+                    spark.conf.set(n, before)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
