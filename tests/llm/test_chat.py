@@ -125,3 +125,17 @@ def test_odd_rows(spark):
         assert chat.unescape(r.span[r.content_start : r.content_end]) == f"turn {r.turn} <|im_start|>"
         assert r.loss == (r.turn % 2 == 1) and r.revised == 0
     assert chat.read_back(chat.format_turns(df.limit(0))).collect() == []
+
+
+def test_place_of_the_text_in_any_template(spark):
+    """Found by rendering, not by searching: a text may equal the words around it."""
+    tagged = lambda turns: "<s>" + "".join(f"<{r}>{t}</{r}>\n" for r, t in turns)
+    silent = lambda turns: "".join(f"[{r}]" if r == "tool" else f"{r}={t};" for r, t in turns)
+    rows = [(1, 0, "user", "user"), (1, 1, "assistant", "assistant"), (1, 2, "assistant", ""), (1, 3, "tool", "x</tool>")]
+    for template in (tagged, silent):
+        got = chat.format_turns(conversations(spark, rows), template).orderBy("turn").collect()
+        for r, (_, _, role, text) in zip(got, rows):
+            if template is silent and role == "tool":
+                assert r.content_start is None and r.content_end is None
+                continue
+            assert r.span[r.content_start : r.content_end] == text

@@ -98,3 +98,27 @@ def test_folder_of_text(spark, tmp_path):
     path = folder(tmp_path, documents=documents(spark, ["one two three"] * 5))
     got = queries.QUERIES["op3_simhash_near_dedup"](spark, path).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 5
+
+
+def test_repeated_and_missing_ids_neither_lose_nor_make_links(spark):
+    near = ["one two three four five six seven eight nine ten " * 3 + w for w in ("a", "b")]
+    far = "something else entirely that shares no shingle with the others here"
+    rows = [(1, near[0]), (1, far), (9, far), (4, near[0]), (2, "x y z"), (None, "x y z"), (None, "lonely words of no id at all")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], documents(spark, []).schema)
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_groups(df).collect()}
+    fp = lambda t: int(np.uint64(simhash.fingerprint(t)).astype(np.int64))
+    assert got[1, fp(near[0])] == got[4, fp(near[0])] == 1 and got[9, fp(far)] == got[1, fp(far)] == 1
+    assert got[2, fp("x y z")] == got[None, fp("x y z")] == 2 and got[None, fp("lonely words of no id at all")] is None
+    # a fingerprint that only a row without an id has still links two others
+    linked = spark.createDataFrame([(7, 0), (None, 0b11), (8, 0b1111)], "doc_id long, fp long")
+    assert _grouped(spark, linked) == {7: 7, None: 7, 8: 7}
+
+
+def _grouped(spark, prints):
+    """Groups of given fingerprints."""
+    real = simhash.fingerprints
+    simhash.fingerprints = lambda *a, **k: prints
+    try:
+        return {r.doc_id: r.component_id for r in simhash.near_groups(documents(spark, [])).collect()}
+    finally:
+        simhash.fingerprints = real

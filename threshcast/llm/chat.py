@@ -16,6 +16,9 @@ BLOCK, CONTEXT = 32, 2
 # The control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 
+#: Texts that share no character, for finding the place of a text.
+PROBES = ("\ue0f0\ue0f1", "\ue0f2\ue0f3")
+
 Message = tuple[str, str]
 Template = Callable[[list[Message]], str]
 
@@ -63,7 +66,7 @@ class Incremental:
     doesn't prove a right one.
     """
 
-    def __init__(self, template: Template, block: int = BLOCK, context: int | None = None):
+    def __init__(self, template: Template, block: int = BLOCK, context: int | None = None, probe: bool = False):
         if context is None:
             context = getattr(template, "context", None)
         self.template, self.block, self.context = template, block, context
@@ -71,6 +74,7 @@ class Incremental:
         self.output = template([])
         self.opening = self.output
         self.limit = None if context is None else block + context
+        self.probe, self.content = probe, None
 
     def add(self, message: Message) -> tuple[str, int]:
         """(what the turn adds, characters of the output before it that were taken back)."""
@@ -82,10 +86,27 @@ class Incremental:
             same = next((i for i, (a, b) in enumerate(zip(self.output, after)) if a != b), min(len(self.output), len(after)))
             added, revised = after[same:], len(self.output) - same
         self.output = after
+        if self.probe:
+            self.content = self._content(message[0], len(added))
         if self.limit is not None and len(self.turns) >= self.limit:
             self._seam()
         return added, revised
 
+    def _content(self, role: str, size: int) -> tuple[int, int] | None:
+        """Place of the last turn's text in what it adds (``probe``): the turn is rendered with two
+        other texts, and what both outputs share at either end is not text. None where the template
+        shows no text of the turn, or sets it within what stood there before."""
+        first, second = (self.template([*self.turns[:-1], (role, x)]) for x in PROBES)
+        if first == second:
+            return None
+        most = min(len(first), len(second))
+        head = next((i for i in range(most) if first[i] != second[i]), most)
+        tail = next((i for i in range(most - head) if first[-1 - i] != second[-1 - i]), most - head)
+        whole, before = self.output, len(self.output) - size
+        end = len(whole) - tail
+        fits = head <= end and whole.startswith(first[:head]) and whole.endswith(first[len(first) - tail :])
+        return (head - before, end - before) if fits and head >= before else None
+
     def _seam(self) -> None:
         tail = self.turns[-self.context :]
         alone = self.template(tail)
@@ -124,7 +145,7 @@ def format_turns(conversations: DataFrame, template: Template = marked, trained:
 
     ``conversations`` has conv_id, turn, role and text. ``start`` counts the code points of the
     conversation's output before the span; ``content_start`` and ``content_end`` are within the
-    span, or null where the escaped text is not found in it; ``loss`` marks turns of ``trained``
+    span, found by rendering the turn with two other texts, or null where the template shows none; ``loss`` marks turns of ``trained``
     roles; ``revised`` is above 0 where the template rewrote history. Tasks stream over sorted
     rows. With a template that declares its ``context`` (see ``Incremental``) they hold one block of
     turns, so a conversation may be of any length; with any other they hold a conversation and
@@ -139,7 +160,7 @@ def format_turns(conversations: DataFrame, template: Template = marked, trained:
             rows = []
             for conv, turn, role, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if conv != current:
-                    current, state = conv, Incremental(template)
+                    current, state = conv, Incremental(template, probe=template is not marked)
                     length = len(state.output)
                     opening = state.output
                 else:
@@ -149,9 +170,10 @@ def format_turns(conversations: DataFrame, template: Template = marked, trained:
                 length = start + len(added)
                 if opening:
                     added, start = opening + added, start - len(opening)
-                body = escape(text)
-                at = added.rfind(body) if template is not marked else content_of(added)[0]
-                rows.append((conv, turn, added, start, None if at < 0 else at, None if at < 0 else at + len(body), role in trained, revised))
+                low, high = content_of(added) if template is marked else state.content or (None, None)
+                if template is not marked and low is not None:
+                    low, high = low + len(opening), high + len(opening)
+                rows.append((conv, turn, added, start, low, high, role in trained, revised))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in TURN.split(", ")])

@@ -184,17 +184,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fingerprints is dealt over tiles (pairs of chunks), each a group of its own; a tile gives
     back a spanning forest of its links, never all pairs.
 
-    Null text counts as empty: fingerprint 0, linked like any other. Rows with a repeated
-    doc_id are separate rows of one document; rows without doc_id join links of others by their
-    text and get the component's smallest id (null when nobody in it has one).
-    An empty table gives no rows. Other columns are ignored.
+    Null text counts as empty: fingerprint 0, linked like any other. Links are between
+    fingerprints, so rows of a repeated doc_id are linked by their own texts and by nothing else,
+    and rows without doc_id link others too; they get the component's smallest id (null when
+    nobody in it has one). An empty table gives no rows. Other columns are ignored.
     """
     prints = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     choice = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(
         F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks(radius, blocks)))))
-    keyed = classes.where("rep is not null").select("fp", "rep", choice.alias("c"))
-    keyed = keyed.select("fp", "rep", "c.t", "c.key")
+    keyed = classes.select("fp", choice.alias("c")).select("fp", "c.t", "c.key")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / F.lit(TILE))
     tiled = (
@@ -205,7 +204,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(
             F.xxhash64("t", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"),
             (F.col("mine") > F.col("other")).cast("int").alias("side"),
-            "fp", "rep", "t", "key",
+            "fp", "t", "key",
         )
     )
 
@@ -216,8 +215,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             a, b = tile_links(
                 t["tile"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["side"].to_numpy(), radius
             )
-            rep = t["rep"].to_numpy()
-            return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["u", "v"])
+            fps = t["fp"].to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], names=["u", "v"])
 
         rows = 0
         for batch in batches:
@@ -239,16 +238,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # by number: tiles cost more than their bytes tell, so tasks are not to be merged by size
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = (
-        tiled.select("tile", "side", "fp", "rep")
+        tiled.select("tile", "side", "fp")
         .repartition(tasks, "tile")
         .sortWithinPartitions("tile", "fp")
         .mapInArrow(compare, "u long, v long")
     )
     found = components(edges)
-    named = (
-        classes.join(found, classes.rep == found.node, "left")
-        .select("fp", F.coalesce("component", "rep").alias("component_id"))
-    )
+    rooted = classes.join(found, classes.fp == found.node, "left")
+    rooted = rooted.select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
