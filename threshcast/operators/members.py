@@ -214,7 +214,8 @@ class Boosting:
             featuresCol="__x" if g.feature_share < 1 else "features", labelCol="__z", weightCol="__w",
             maxDepth=g.max_depth, minInstancesPerNode=g.min_leaf, maxBins=max_bins, seed=g.seed + number,
         )
-        return Tree.grown(learner.fit(rows)._java_obj.rootNode(), picked)
+        fitted = learner.fit(rows)  # held: its JVM side goes with it
+        return Tree.grown(fitted._java_obj.rootNode(), picked)
 
     def _valued(self, now: DataFrame, out: Boosted, grown: list[tuple[Tree, dict]], number: int) -> list[Tree]:
         """The grown trees cut back; a leaf's value comes from the sums the fit has taken, or for the
