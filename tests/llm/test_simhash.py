@@ -122,3 +122,14 @@ def _grouped(spark, prints):
         return {r.doc_id: r.component_id for r in simhash.near_groups(documents(spark, [])).collect()}
     finally:
         simhash.fingerprints = real
+
+
+def test_direct_links_span_and_stay_within_the_radius():
+    rng = np.random.default_rng(2)
+    near = np.uint64(0xF0F0F0F0F0F0F0F0) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    fps = np.unique(np.r_[near, rng.integers(0, 2**63, 40).astype(np.uint64)])
+    a, b = simhash.tile_links(np.zeros(len(fps), int), fps, np.zeros(len(fps), int), 2, direct=True)
+    child, _ = simhash.tile_links(np.zeros(len(fps), int), fps, np.zeros(len(fps), int), 2)
+    assert len(a) == len(child) and (np.bitwise_count(fps[a] ^ fps[b]) <= 2).all()
+    root = simhash._roots(len(fps), a, b)
+    assert np.array_equal(np.flatnonzero(root != np.arange(len(fps))), child)

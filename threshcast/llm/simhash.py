@@ -10,8 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshcast.llm.base import components, small_batches, stored
-from threshcast.llm.near_texts import keep_least
+from threshcast.llm.base import components, keep_least, small_batches, stored
 from threshcast.llm.remember import release
 
 #: A bucket of more fingerprints is compared tile by tile, each tile in a task of its own.
@@ -20,7 +19,7 @@ _SHINGLES_AT_ONCE = 1 << 16
 _ROWS_AT_ONCE = 1 << 18
 
 
-def _bit_counts(hashes: list[int]) -> np.ndarray:
+def _bit_counts(hashes: list[int] | np.ndarray) -> np.ndarray:
     bits = np.unpackbits(np.array(hashes, "<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little")
     return bits.sum(axis=0, dtype=np.int64)
 
@@ -38,6 +37,13 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of a set of 64-bit hashes; 0 for none."""
+    parts = (_bit_counts(hashes[low : low + _SHINGLES_AT_ONCE]) for low in range(0, len(hashes), _SHINGLES_AT_ONCE))
+    counts = sum(parts, np.zeros(64, np.int64))
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  words: int = 3) -> DataFrame:
     """(doc_id, fp) for every row; ``fp`` is the fingerprint as a signed long."""
@@ -129,12 +135,14 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = after
 
 
-def tile_links(keys: np.ndarray, fps: np.ndarray, side: np.ndarray, radius: int):
+def tile_links(keys: np.ndarray, fps: np.ndarray, side: np.ndarray, radius: int, direct: bool = False):
     """Spanning links (index, index) of the fingerprints of many tiles.
 
     Rows are sorted by key. In a tile of one chunk all ``side`` are 0; in one of two chunks
-    only rows of different sides are compared.
+    only rows of different sides are compared. With ``direct`` both ends of every link are within
+    the radius, closer ones first among those found together; else each points at its least index.
     """
+    direct_links = [np.zeros((2, 0), int)]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     ends = np.r_[starts[1:], len(keys)]
     blocks, queries, first = [], [], 0
@@ -151,7 +159,7 @@ def tile_links(keys: np.ndarray, fps: np.ndarray, side: np.ndarray, radius: int)
         queries.append((np.repeat(asking, n), np.tile(np.arange(first, first + n), len(asking))))
         first += n
     if not blocks:
-        return np.zeros(0, int), np.zeros(0, int)
+        return tuple(direct_links[0])
     members = np.concatenate(blocks)
     valid = np.packbits(members >= 0, axis=1, bitorder="little").view("<u8").ravel()
     sliced = planes(np.where(members >= 0, fps[members], np.uint64(0)))
@@ -165,35 +173,31 @@ def tile_links(keys: np.ndarray, fps: np.ndarray, side: np.ndarray, radius: int)
             rows = hit[part : part + 4096]
             bits = np.unpackbits(found[rows].astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little")
             row, member = np.nonzero(bits)
-            a, b = root[q[rows[row]]], root[members[g[rows[row]], member]]
+            pairs = np.stack([q[rows[row]], members[g[rows[row]], member]])
+            if direct:
+                pairs = pairs[:, np.argsort(np.bitwise_count(fps[pairs[0]] ^ fps[pairs[1]]), kind="stable")]
+            a, b = root[pairs]
             new = np.flatnonzero(a != b)
+            while direct and len(new):
+                # the closest link of each component to one before it
+                first = new[np.unique(np.maximum(a, b)[new], return_index=True)[1]]
+                direct_links.append(pairs[:, first])
+                root = _roots(len(fps), np.r_[a[first], np.arange(len(fps))], np.r_[b[first], root])
+                pairs = pairs[:, new]
+                a, b = root[pairs]
+                new = np.flatnonzero(a != b)
             if len(new):
                 root = _roots(len(fps), np.r_[a[new], np.arange(len(fps))], np.r_[b[new], root])
     child = np.flatnonzero(root != np.arange(len(fps)))
-    return child, root[child]
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                radius: int = 2, blocks: int = 5) -> DataFrame:
-    """(doc_id, fp, component_id): documents whose fingerprints link at ``radius`` bits or fewer.
+    return tuple(np.concatenate(direct_links, axis=1)) if direct else (child, root[child])
 
-    ``component_id`` is the smallest doc_id reachable over links, the document's own included.
-    Equal fingerprints are collapsed first, so any number of copies is one fingerprint. Two
-    fingerprints within the radius agree in ``blocks - radius`` of the blocks their bits are
-    cut into; buckets of such agreement are compared bit-sliced. A bucket of over ``TILE``
-    fingerprints is dealt over tiles (pairs of chunks), each a group of its own; a tile gives
-    back a spanning forest of its links, never all pairs.
 
-    Null text counts as empty: fingerprint 0, linked like any other. Links are between
-    fingerprints, so rows of a repeated doc_id are linked by their own texts and by nothing else,
-    and rows without doc_id link others too; they get the component's smallest id (null when
-    nobody in it has one). An empty table gives no rows. Other columns are ignored.
-    """
-    prints = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+def links(prints: DataFrame, under: list[int], radius: int, direct: bool = False) -> DataFrame:
+    """(u, v): links of the different fingerprints ``fp`` that agree under one of the masks
+    ``under`` and are at most ``radius`` bits apart; of each tile a spanning forest, see ``tile_links``."""
     choice = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(
-        F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks(radius, blocks)))))
-    keyed = classes.select("fp", choice.alias("c")).select("fp", "c.t", "c.key")
+        F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(under))))
+    keyed = prints.select("fp", choice.alias("c")).select("fp", "c.t", "c.key")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / F.lit(TILE))
     tiled = (
@@ -211,9 +215,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def compare(batches):
         held: list[pa.RecordBatch] = []
 
-        def links(t: pa.Table):
+        def found(t: pa.Table):
             a, b = tile_links(
-                t["tile"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["side"].to_numpy(), radius
+                t["tile"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["side"].to_numpy(), radius, direct
             )
             fps = t["fp"].to_numpy()
             return pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], names=["u", "v"])
@@ -230,19 +234,40 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             tiles = t["tile"].to_numpy()
             last = int(np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]])[-1])
             if last:
-                yield links(t.slice(0, last))
+                yield found(t.slice(0, last))
                 held, rows = t.slice(last).to_batches(), t.num_rows - last
         if held:
-            yield links(pa.Table.from_batches(held))
+            yield found(pa.Table.from_batches(held))
 
     # by number: tiles cost more than their bytes tell, so tasks are not to be merged by size
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = (
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
         tiled.select("tile", "side", "fp")
         .repartition(tasks, "tile")
         .sortWithinPartitions("tile", "fp")
         .mapInArrow(compare, "u long, v long")
     )
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
+                radius: int = 2, blocks: int = 5) -> DataFrame:
+    """(doc_id, fp, component_id): documents whose fingerprints link at ``radius`` bits or fewer.
+
+    ``component_id`` is the smallest doc_id reachable over links, the document's own included.
+    Equal fingerprints are collapsed first, so any number of copies is one fingerprint. Two
+    fingerprints within the radius agree in ``blocks - radius`` of the blocks their bits are
+    cut into; buckets of such agreement are compared bit-sliced. A bucket of over ``TILE``
+    fingerprints is dealt over tiles (pairs of chunks), each a group of its own; a tile gives
+    back a spanning forest of its links, never all pairs.
+
+    Null text counts as empty: fingerprint 0, linked like any other. Links are between
+    fingerprints, so rows of a repeated doc_id are linked by their own texts and by nothing else,
+    and rows without doc_id link others too; they get the component's smallest id (null when
+    nobody in it has one). An empty table gives no rows. Other columns are ignored.
+    """
+    prints = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    edges = links(classes, masks(radius, blocks), radius)
     found = components(edges)
     rooted = classes.join(found, classes.fp == found.node, "left")
     rooted = rooted.select("fp", "rep", F.coalesce("component", "fp").alias("root"))
