@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threshcast.session import fresh_path, observed
+from threshcast.session import fresh_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,8 +14,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 #: Rows and bytes of a batch that Spark hands to Python at once, where the session says nothing else.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-#: Light rows (a few numbers each) of a task.
-ROWS_EACH = 100_000
 
 
 def small_batches(df: DataFrame) -> None:
@@ -27,26 +25,14 @@ def small_batches(df: DataFrame) -> None:
             spark.conf.set(key, value)
 
 
-def stored(df: DataFrame, label: str, tasks: int | None = None) -> DataFrame:
-    """``df`` written once to the shared folder: short lineage, survives lost executors.
-
-    Its last step runs in ``tasks`` tasks at most, each of which writes a file.
-    """
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder: short lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def light_tasks(spark: SparkSession, rows: int, each: int = ROWS_EACH) -> int:
-    """Tasks for ``rows`` light rows: as many for each core as it takes to keep them busy, and more as rows grow.
-
-    Where a session has many shuffle partitions and doesn't merge them, a task and a file for each
-    would cost more than the rows in them.
-    """
-    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))
-
-
 def forget(df: DataFrame) -> None:
     """Delete the files of a ``stored`` table that nothing reads any more."""
     spark = df.sparkSession
@@ -56,28 +42,28 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def _round(edges: DataFrame, tasks: int | None) -> tuple[DataFrame, tuple]:
-    """Edges written, how many they are and a digest of them."""
-    digest = F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))
-    return observed(edges if tasks is None else edges.coalesce(tasks), "edges", F.count(F.lit(1)), digest)
+def _digest(edges: DataFrame) -> tuple:
+    row = edges.agg(
+        F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))
+    ).first()
+    return tuple(row)
 
 
-def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (u, v) of type long.
 
     ``component`` is the smallest node reachable. Alternating large and small stars: every round
     points nodes at smaller ones until each points at the smallest. Rounds are written to the
     shared folder; two numbers a round reach the driver. Joins may be split by Spark where one
-    node holds many edges; minima are combined before each shuffle. Steps of a round run in as many
-    tasks as its edges need, the first in ``tasks`` at most. Loops and repeated edges are allowed;
-    null ends are dropped.
+    node holds many edges; minima are combined before each shuffle. Loops and repeated edges are
+    allowed; null ends are dropped.
     """
     edges = edges.where("u is not null and v is not null and u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    now, seen = _round(edges.distinct(), tasks)
+    now = stored(edges.distinct(), "edges")
+    seen = _digest(now)
     while True:
-        few = light_tasks(edges.sparkSession, seen[0])
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = (
@@ -85,9 +71,7 @@ def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
             .join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
-            .coalesce(few)
             .distinct()
-            .coalesce(few)
         )
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = (
@@ -96,9 +80,9 @@ def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
                                       F.struct(F.col("u").alias("u"), F.col("m").alias("v")))))
             .select("col.u", "col.v")
         )
-        after, found = _round(pairs.where("u <> v").coalesce(few).distinct(), few)
+        after = stored(pairs.where("u <> v").distinct(), "edges")
         forget(now)
-        now, before, seen = after, seen, found
+        now, before, seen = after, seen, _digest(after)
         if seen == before:
             break
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
