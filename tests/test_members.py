@@ -9,7 +9,8 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from threshcast.operators.boosting import PoissonBoost, PoissonBoostModel
+from threshcast.operators import histograms, members
+from threshcast.operators.boosting import PoissonBoost, PoissonBoostModel, training_rows
 from threshcast.operators.estimators import (
     BaselineEstimator,
     MatrixEstimator,
@@ -20,6 +21,7 @@ from threshcast.operators.estimators import (
 )
 from threshcast.operators.intervals import count_covering, covered
 from threshcast.operators.learning import FeatureFrame, saved, saving
+from threshcast.operators.members import Boosting, Growth, Loss, Member
 from threshcast.operators.matrix_model import FactorForest
 from threshcast.operators.quantiles import MetaLearner, PinballBoost, pinball_loss, sort_quantiles
 from threshcast.operators.trees import Lookup, Tree, cut_back, fall, leaf_value
@@ -225,3 +227,72 @@ def test_frames_of_all_folds_from_one_scan(table):
         want = FeatureFrame.fit(past, ["a", "b"], ["site"])
         assert got.means == pytest.approx(want.means) and got.sizes == want.sizes
         assert sorted(map(tuple, got.codes.select("column", "label", "code").collect())) == sorted(map(tuple, want.codes.select("column", "label", "code").collect()))
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def some_members():
+    held = [None, *(F.col("__key") % 3 == k for k in (0, 1))]
+    squared = [Member(Loss(), Growth(0.3, 4, leaves, 5, 0.0, 0.65, feature_share=0.5), h) for leaves in (3, 40) for h in held]
+    return squared, [Member(Loss("pinball", q), Growth(0.3, 4, 31, 10, 0.0, 0.45), h) for q in (0.1, 0.9) for h in held]
+
+
+def test_common_passes_grow_the_trees_of_single_fits(table, frame, spark, monkeypatch):
+    data = training_rows(table.filter("id % 7 <> 0 and a > 1").coalesce(1), frame, "y", ["id"])
+    for limit in ("EXACT", "SUMS_BYTES", "COLLECT_BYTES"):
+        if limit != "EXACT":  # passes of one node, and sums added by tasks
+            monkeypatch.setattr(histograms, limit, 1)
+        squared, pinball = some_members()
+        both, boost = squared[:2] + pinball[:2], Boosting()
+        conditions, at = boost._conditions([m.learns() for m in both])
+        cuts = histograms.cuts_of(data, "x", conditions, 2, 64)
+        now = data.withColumn("__b", cuts.binned("x")).withColumn("F", F.array(*[F.lit(30.0)] * len(both))).cache()
+        for number in (0, 1):
+            found = boost._grown(now, both, range(len(both)), at, number, 2, cuts, 1)
+            for i, (m, (tree, sums)) in enumerate(zip(both, found)):
+                want, rest = boost._grow(now, m, i, number, 2, 64)
+                assert (tree.feature, tree.threshold, tree.left) == (want.feature, want.threshold, want.left)
+                assert {k: pytest.approx(v) for k, v in rest.items()} == sums
+        now.unpersist()
+
+
+def test_a_member_alone_is_what_passes_make_of_it(table, frame, monkeypatch):
+    data = training_rows(table, frame, "y", ["id"])
+    squared, _ = some_members()
+    stop = lambda out: len(out.errors) == 4
+    runs = []
+    for size in (members.ALONE_BYTES, 0):
+        monkeypatch.setattr(members, "ALONE_BYTES", size)
+        runs += [Boosting(3, watch=True).fit(data, squared, 2, 64), Boosting(9, watch=True, stop=stop).fit(data, squared[1:2], 2, 64)]
+    for a, b in zip(runs[:2], runs[2:]):
+        assert len(a.trees) == len(b.trees) == 3 and list(a.losses) == list(b.losses)
+        assert np.array(a.errors) == pytest.approx(np.array(b.errors), nan_ok=True)
+        for one, other in zip((t for s in a.trees for t in s), (t for s in b.trees for t in s)):
+            assert one.feature == other.feature and one.value == pytest.approx(other.value)
+
+
+def test_jobs_do_not_grow_with_the_members(table, frame, spark, monkeypatch):
+    """A tree of its own took a fit of some eight jobs for each member and round."""
+    data = training_rows(table, frame, "y", ["id"])
+    squared, pinball = some_members()
+    assert jobs_of(spark, "alone", lambda: Boosting(3, watch=True).fit(data, squared, 2, 64)) <= 12
+    assert jobs_of(spark, "pinball", lambda: Boosting(2).fit(data, pinball, 2, 64)) <= 2 * (4 + 2) + 12
+
+
+def test_cuts_of_many_values_share_the_rows(spark, monkeypatch):
+    rows = spark.range(0, 40_000, 1, 4).selectExpr("array(cast(id as double), cast(id % 3 as double)) x", "id % 4 = 0 as held")
+    monkeypatch.setattr(histograms, "EXACT", 500)
+    monkeypatch.setattr(histograms, "SUMMARY", 400)
+    cuts = histograms.cuts_of(rows, "x", [F.lit(True), F.col("held")], 2, 16)
+    for own in cuts.own:
+        assert own[1].tolist() == [0.5, 1.5]
+        assert own[0] == pytest.approx([2500 * k for k in range(1, 16)], abs=250)
+    few = histograms.thresholds(np.array([1.0, 2.0, 4.0]), np.array([5.0, 0.0, 1.0]), 64)
+    assert few.tolist() == [2.5] and not len(histograms.thresholds(np.array([3.0]), np.array([9.0]), 64))
