@@ -296,3 +296,22 @@ def test_cuts_of_many_values_share_the_rows(spark, monkeypatch):
         assert own[0] == pytest.approx([2500 * k for k in range(1, 16)], abs=250)
     few = histograms.thresholds(np.array([1.0, 2.0, 4.0]), np.array([5.0, 0.0, 1.0]), 64)
     assert few.tolist() == [2.5] and not len(histograms.thresholds(np.array([3.0]), np.array([9.0]), 64))
+
+
+def test_sorted_residuals_give_the_quantiles_of_sketches(table, frame, monkeypatch):
+    """Tables of many rows take another way to the same leaves; with few kept ranks they are near."""
+    data = training_rows(table, frame, "y", ["id"])
+    _, pinball = some_members()
+    sketched = Boosting(2).fit(data, pinball, 2, 64)
+    monkeypatch.setattr(members, "DEALT", 0)
+    monkeypatch.setattr(members, "tree_sql", None)  # sketches need leaf numbers in SQL
+    monkeypatch.setattr(histograms, "_HELD_AT_ONCE", 100)  # batches are not cut, so each is a piece
+    exact = Boosting(2).fit(data, pinball, 2, 64)
+    for a, b in zip((t for side in sketched.trees for t in side), (t for side in exact.trees for t in side)):
+        assert a.feature == b.feature and a.value == pytest.approx(b.value)
+    cuts, leaf = histograms.cuts_of(data, "x", [F.lit(True)], 2, 64), Tree()
+    leaf.add()
+    now = data.withColumn("__b", cuts.binned("x")).withColumn("F", F.array(F.lit(7.0)))
+    [coarse] = histograms.leaf_quantiles(now, [leaf], [0.3], [-1], [], cuts, 40)
+    rank = data.filter(F.col("y") - 7.0 <= coarse[0]).count()
+    assert 360 <= rank <= 360 + 1200 / 40

@@ -241,8 +241,9 @@ def _best(plan: Plan, cuts: Cuts, sums: list[np.ndarray], own: list[np.ndarray |
     return list(zip(best, known.T))
 
 
-def grow(now: DataFrame, plans: Sequence[Plan], conditions: Sequence[Column], cuts: Cuts, tasks: int) -> list[tuple[Tree, dict]]:
-    """A tree for each plan, from a table with ``__b`` (binned features), ``y`` and ``F`` (scores)."""
+def grow(now: DataFrame, plans: Sequence[Plan], conditions: Sequence[Column], cuts: Cuts, tasks: int, counted: bool = False) -> list[tuple[Tree, dict]]:
+    """A tree for each plan, from a table with ``__b`` (binned features), ``y`` and ``F`` (scores). Signs
+    may be ``counted`` instead of added, which is quicker and rounds sums otherwise."""
     grown = [_Growing(p) for p in plans]
     waiting = [(k, 0) for k in range(len(grown))]  # a tree of one leaf needs its sums, too
     while waiting:
@@ -256,7 +257,7 @@ def grow(now: DataFrame, plans: Sequence[Plan], conditions: Sequence[Column], cu
         by: dict[int, list[int]] = {}
         for k, node in taken:
             by.setdefault(k, []).append(node)
-        found = _sums(now, [(grown[k], nodes) for k, nodes in by.items()], conditions, cuts, tasks)
+        found = _sums(now, [(grown[k], nodes) for k, nodes in by.items()], conditions, cuts, tasks, counted)
         for (k, nodes), sums in zip(by.items(), found):
             g = grown[k]
             for node, (best, own) in zip(nodes, _best(g.plan, cuts, sums, [g.stats[n] for n in nodes])):
@@ -390,7 +391,7 @@ def columns_of(binned: pa.ChunkedArray, n_features: int) -> np.ndarray:
     return np.ascontiguousarray(rows.reshape(-1, n_features).T)
 
 
-def _sums(now: DataFrame, asked: list[tuple[_Growing, list[int]]], conditions: Sequence[Column], cuts: Cuts, tasks: int):
+def _sums(now: DataFrame, asked: list[tuple[_Growing, list[int]]], conditions: Sequence[Column], cuts: Cuts, tasks: int, counted: bool):
     """For each tree asked and feature the rows, sums and sums of squares of labels of its nodes by bin."""
     n_features, n_conditions = len(cuts.all), len(conditions)
     orders = []
@@ -418,6 +419,14 @@ def _sums(now: DataFrame, asked: list[tuple[_Growing, list[int]]], conditions: S
                     continue
                 take = (lambda c: c) if index is None else (lambda c: c[index])  # noqa: B023
                 score, truth = take(scores[:, place]), take(y)
+                if level is not None and counted:
+                    side = at + len(slot) * ~(truth < score)
+                    for s, f, size, look in zip(sums, features, sizes, lookups):
+                        code = side * size
+                        code += take(columns[f]) if look is None else look[take(columns[f])]
+                        low, high = np.bincount(code, minlength=2 * s.shape[1]).reshape(2, -1)
+                        s += np.stack([low + high, high * level + low * (level - 1), high * level**2 + low * (level - 1) ** 2])
+                    continue
                 if level is None:
                     label = truth - score
                 else:  # a missing number is above any other, as in Spark

@@ -5,8 +5,8 @@ the levels of a quantile ensemble, the folds and grid points of a search. A roun
 for each member: those whose rows weigh the same together, a pass for each level of the trees
 (``histograms.grow``), any other by a fit of its own (independent jobs, a few at a time). Both give
 the sums that leaf values need; quantiles of residuals come from one grouped aggregation by member
-and leaf, errors on held rows from one for all members, with the scores where these are written. A table of scores, one number for each member and row, goes from
-round to round.
+and leaf, errors on held rows from one for all members, with the scores where these are written.
+A table of scores, one number for each member and row, goes from round to round.
 """
 
 from __future__ import annotations
@@ -189,7 +189,7 @@ class Boosting:
                     if self.stop is not None and self.stop(out):
                         break
                 single = inheritable_thread_target(table.sparkSession)(lambda m: self._grow(now, members[m], m, i, n_features, max_bins))
-                grown = dict(zip(level, self._grown(now, members, level, groups[1], i, n_features, cuts, tasks)))
+                grown = dict(zip(level, self._grown(now, members, level, groups[1], i, n_features, cuts, tasks, rows > DEALT)))
                 others = [m for m in range(len(members)) if m not in grown]
                 grown.update(zip(others, pool.map(single, others)))
                 side = self._valued(now, out, [grown[m] for m in range(len(members))], i, cuts, rows)
@@ -283,7 +283,7 @@ class Boosting:
         return [wanted[i] for i in order], [order.index(first[n]) for n in names]
 
     def _grown(self, now: DataFrame, members: list[Member], picked: list[int], cuts_at: list[int], number: int,
-               n_features: int, cuts: Cuts | None, tasks: int) -> list[tuple[Tree, dict]]:
+               n_features: int, cuts: Cuts | None, tasks: int, counted: bool = False) -> list[tuple[Tree, dict]]:
         """Trees of the members whose rows weigh the same, from common passes."""
         if not picked:
             return []
@@ -294,7 +294,7 @@ class Boosting:
                  self._features(members[m].growth, number, n_features), members[m].growth.max_depth, members[m].growth.min_leaf)
             for m, c in zip(picked, at)
         ]
-        return grow(now, plans, [] if every else conditions, cuts, tasks)
+        return grow(now, plans, [] if every else conditions, cuts, tasks, counted)
 
     @staticmethod
     def _features(g: Growth, number: int, n_features: int) -> list[int]:
